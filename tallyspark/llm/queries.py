@@ -14,5 +14,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return verdicts.drop("_k1", "_k2")
 
 
-QUERIES = {f.__name__: f for f in (op10_benchmark_decontamination,)}
+def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, k=4)
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
