@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 
@@ -20,5 +21,12 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, k=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op10_benchmark_decontamination)}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import deduplicate_substrings
+
+    out = deduplicate_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
