@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -28,5 +35,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op10_benchmark_decontamination)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("_k1", "_k2")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op9_packing, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
