@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, save
 
 
 def tokenizer(name: str) -> str:
@@ -35,11 +35,46 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_folder, read_archives, write_archives
+
+    manifest = save(write_archives(read_table(spark, sf_dir, "pages"), archive_folder(spark)), "manifest")
+    files = manifest.repartition(max(1, manifest.count()), "path")
+    return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: (action, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import filter_urls
+
+    return filter_urls(read_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "action string, host string, path string"))
+
+
+OP8_SQL = """
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(action, rule_host, rule_path) AS (VALUES """ + ", ".join(str(r) for r in URL_RULES) + """),
+judged AS (
+  SELECT p.*, r.rule_host || r.rule_path AS rule, r.action,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host) DESC NULLS LAST, length(rule_path) DESC) AS n
+  FROM parts p LEFT JOIN rules r
+    ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM judged WHERE n = 1
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("_k1", "_k2")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op9_packing, op10_benchmark_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op6_warc_archive, op8_url_filter, op9_packing, op10_benchmark_decontamination)}
+ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL}
