@@ -43,6 +43,12 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 #: (action, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -76,5 +82,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("_k1", "_k2")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op6_warc_archive, op8_url_filter, op9_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op6_warc_archive, op7_nearest_neighbours, op8_url_filter, op9_packing, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL}
