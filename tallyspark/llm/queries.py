@@ -35,6 +35,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold, identify, train
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(fold("doc_id", 4) != 2))
+    found = identify(docs, model, ["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_folder, read_archives, write_archives
 
@@ -82,5 +91,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("_k1", "_k2")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op6_warc_archive, op7_nearest_neighbours, op8_url_filter, op9_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op5_language_id, op6_warc_archive, op7_nearest_neighbours, op8_url_filter, op9_packing, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL}
