@@ -101,7 +101,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of an odd base modulo 2**64, and of its inverse."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         inv = np.uint64(pow(int(base), -1, 1 << 64))
         up, down = np.full(size, base, np.uint64), np.full(size, inv, np.uint64)
         up[0] = down[0] = 1
@@ -186,6 +186,23 @@ def utf8(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batches, column: int, limit: int = CHUNK_BYTES):
+    """The batches in slices of about `limit` bytes of a string column, so that few bytes are held decoded at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if pa.types.is_null(batch.column(column).type):
+            yield batch
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def windowed_min(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of every `width` consecutive values."""
     n, span = len(values) - width + 1, 1

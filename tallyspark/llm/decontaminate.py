@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Words, chunks, row_key, save, utf8
+from .common import Words, chunks, row_key, save, slices, utf8
 
 #: log2 of the Bloom filter's bits (4 MB) and its hashes a key.
 BLOOM_BITS, BLOOM_HASHES = 25, 4
@@ -95,7 +95,7 @@ def document_hits(docs: DataFrame, bloom, sizes: list[int], window: int) -> Data
         import pyarrow as pa
 
         bits = bloom.value
-        for batch in batches:
+        for batch in slices(batches, 3):
             texts = utf8(batch.column(3))
             n_words, hits = [], []
             for a, b in chunks(texts):

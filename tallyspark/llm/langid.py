@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BASE, Words, chunks, mix, powers, prefix_sums, utf8
+from .common import BASE, Words, chunks, mix, powers, prefix_sums, slices, utf8
 
 TABLE_BITS = 17
 UNDETERMINED = "und"
@@ -206,7 +206,7 @@ def train(docs: DataFrame, per_label: int = 300, spans: int = 8, span_words: int
     return fit(labels, [(labels.index(label), span) for label, span in drawn]) if labels else None
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text_col: str = "text", segments: bool = False, chunk: int = 4 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text_col: str = "text", segments: bool = False, chunk: int = 2 << 20) -> DataFrame:
     """The columns `keep` of docs with lang_pred and score, and with segments, if asked for: runs of words of one label."""
     keep = docs.columns if keep is None else keep
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
         import pyarrow as pa
 
         model = held.value
-        for batch in batches:
+        for batch in slices(batches, len(keep), chunk):
             texts = utf8(batch.column(len(keep)))
             label, score, runs = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
             for a, b in chunks(texts, chunk) if model else ():

@@ -7,7 +7,7 @@ window hashes (an anchor of 64 bits and a window hash of 47 name a window's word
 meet, each window found more than once, anywhere, is repeated; runs of repeated windows are the maximal repeats,
 and the words that they cover are removed. Pairs of occurrences are never made.
 
-Rows are packed: each input chunk sends one binary row a bucket. Skew: a chunk resolves the windows it holds
+Rows are packed: every `chunk` windows a task sends one binary row a bucket. Skew: a chunk resolves the windows it holds
 twice and ships one of each; a bucket again keeps one of each distinct window; and an anchor with more than
 `hot` stretches in a bucket that outgrows `limit` bytes is dealt anew by single window, which spreads evenly.
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, Words, buckets, chunks, mix, row_key, save, utf8, windowed_min
+from .common import ODD, Words, buckets, mix, row_key, save, slices, utf8, windowed_min
 
 HEAD = np.dtype([("anchor", "<u8"), ("k1", "<i8"), ("k2", "<i4"), ("start", "<u4"), ("n", "<u4")])
 MASK = np.uint64((1 << 48) - 2)  # of a window hash; the lowest bit says that it is known to repeat
@@ -124,21 +124,28 @@ def seeds(keyed: DataFrame, length: int, gram: int, n_buckets: int, chunk: int)
     """Packed stretches of windows by anchor, and the intervals that a chunk has settled itself."""
 
     def run(batches):
-        for batch in batches:
+        held: list[Windows] = []
+
+        def settled():
+            here = Windows.join(held)
+            repeated, keep = here.resolve()
+            held.clear()
+            return _batch(here.take(keep).packed(n_buckets, False), here.take(repeated).intervals(length), n_buckets)
+
+        for batch in slices(batches, 2):
             k1, k2 = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            texts = utf8(batch.column(2))
-            for a, b in chunks(texts, chunk):
-                words = Words(texts[a:b])
-                window = words.grams(length)
-                anchor = windowed_min(words.grams(gram), length - gram + 1)
-                doc = words.docs()[: len(window)]
-                at = np.flatnonzero(np.arange(len(window)) + length <= words.bounds[doc + 1])
-                if not len(at):
-                    continue
-                doc = doc[at] + a
-                here = Windows(anchor[at], window[at] & MASK, k1[doc], k2[doc], at - words.bounds[doc - a])
-                repeated, keep = here.resolve()
-                yield _batch(here.take(keep).packed(n_buckets, False), here.take(repeated).intervals(length), n_buckets)
+            words = Words(utf8(batch.column(2)))
+            window = words.grams(length)
+            anchor = windowed_min(words.grams(gram), length - gram + 1)
+            doc = words.docs()[: len(window)]
+            at = np.flatnonzero(np.arange(len(window)) + length <= words.bounds[doc + 1])
+            doc = doc[at]
+            if len(at):
+                held.append(Windows(anchor[at], window[at] & MASK, k1[doc], k2[doc], at - words.bounds[doc]))
+            if sum(len(x.pos) for x in held) >= chunk:
+                yield settled()
+        if held:
+            yield settled()
 
     return keyed.mapInArrow(run, ROUTED)
 
@@ -192,7 +199,7 @@ def extend(routed: DataFrame, length: int, n_buckets: int, limit: int, hot: int,
     return routed.repartition(n_buckets, "bucket").mapInArrow(run, ROUTED)
 
 
-def repeats(docs: DataFrame, length: int, gram: int = 6, chunk: int = 4 << 20, limit: int = 64 << 20, hot: int = 20_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int, gram: int = 6, chunk: int = 600_000, limit: int = 48 << 20, hot: int = 20_000) -> DataFrame:
     """(_k1, _k2, spans: array of (s, e), word intervals that lie in repeated windows) for docs with _k1, _k2, text."""
     n = buckets(docs.sparkSession)
     settled = save(extend(seeds(docs.select("_k1", "_k2", "text"), length, gram, n, chunk), length, n, limit, hot, False), "repeats")
@@ -216,7 +223,7 @@ def deduplicate_substrings(docs: DataFrame, length: int = 50, gram: int = 6, id_
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, at):
             texts, spans = utf8(batch.column(at)), batch.column(batch.schema.get_field_index("spans")).to_pylist()
             n_words, n_removed, kept = [], [], []
             for text, own in zip(texts, spans):
