@@ -1,13 +1,15 @@
 """SimHash near-duplicates: deletion-variant signatures of fingerprint segments, equality join, verification.
 
-A fingerprint is cut into floor(k / 2) + 1 segments, so that of two fingerprints at most k bits apart some segment
-differs by at most one bit. Each segment yields one signature per bit, with that bit a wildcard; fingerprints
-that agree on a segment up to one bit share a signature. Rows with one signature meet in a bucket and are compared.
+A fingerprint is cut into `blocks` blocks, and every blocks - k + 1 of them make a segment; of two fingerprints at
+most k bits apart some segment then differs by at most one bit. (With k = 4 and five blocks: ten segments of two
+blocks, 26 bits; fewer blocks make shorter segments, on which unlike fingerprints meet by chance more often.)
+Each segment yields one signature per bit, with that bit a wildcard; fingerprints that agree on a segment up to one
+bit share a signature. Rows with one signature meet, and are verified by their differing bits.
 
-A bucket emits no pairs: it is searched breadth-first among the fingerprints not reached yet, and each reached one
-is linked to the least fingerprint of its connected part, so a bucket of n yields fewer than n links and loses no
-connection. Buckets of more than `tile` fingerprints are dealt over tiles, so that any two meet in some tile and
-no task holds more than two tiles' worth. Exact copies share a fingerprint and count once from the start.
+No pairs are made: those that meet are searched breadth-first among the ones not reached yet, and each reached one
+is linked to the least fingerprint of its connected part, so n that meet yield fewer than n links and lose no
+connection. Exact copies share a fingerprint and count once from the start. Fingerprints travel packed, a binary
+row a bucket; a bucket holds eight bytes a fingerprint and variant.
 
 A null or empty text, or one with no words, has fingerprint zero, linked like any other. Repeated rows are
 separate rows of one component; a null id never is the least. Other columns are ignored.
@@ -15,11 +17,13 @@ separate rows of one component; a null id never is the least. Other columns are
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, save, utf8
+from .common import LOWER, buckets, chunks, mix, save, slices, utf8
 from .components import components
 
 
@@ -66,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = utf8(batch.column(1))
             fp = np.concatenate([fingerprint_texts(texts[a:b], shingle) for a, b in chunks(texts)] or [np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -75,31 +79,23 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint")
 
 
-def segments(k: int) -> list[tuple[int, int]]:
-    """(low bit, width) of the segments for at most k differing bits."""
-    n = k // 2 + 1
-    cut = [64 * i // n for i in range(n + 1)]
-    return list(zip(cut, (b - a for a, b in zip(cut, cut[1:]))))
-
-
-def signatures(fps: DataFrame, k: int) -> DataFrame:
-    """(sig, fp): for each segment and bit of it, the segment without that bit, tagged with both."""
+def segments(k: int, blocks: int) -> list[list[tuple[int, int]]]:
+    """The segments, each a few blocks as (low bit, width): k differing bits leave one with at most one of them."""
+    pick = blocks - k + 1
+    if pick < 1:
+        raise ValueError("k differing bits need at least k blocks")
+    cut = [64 * i // blocks for i in range(blocks + 1)]
+    return [[(cut[i], cut[i + 1] - cut[i]) for i in chosen] for chosen in combinations(range(blocks), pick)]
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for low, width in segments(k):
-                seg = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
-                for bit in range(width):
-                    # the bit is cleared; segment and bit fill the number's upper part, so signatures of different places differ
-                    sig = (seg & ~np.uint64(1 << bit)) << np.uint64(7) | np.uint64(low + bit)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0)], ["sig", "fp"])
 
-    if 64 // (k // 2 + 1) > 56:
-        raise ValueError("a segment and its place must fit 64 bits: k of 2 or more")
-    return fps.select("fp").mapInArrow(run, "sig bigint, fp bigint")
+def variants(k: int, blocks: int) -> list[int]:
+    """The masks of all signatures: a segment's bits, less one wildcard."""
+    out = []
+    for segment in segments(k, blocks):
+        bits = [low + i for low, width in segment for i in range(width)]
+        whole = sum(1 << b for b in bits)
+        out += [whole & ~(1 << b) for b in bits]
+    return out
 
 
 def bucket_links(fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,62 +116,82 @@ def bucket_links(fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return cat(node), cat(root)
 
 
-def links(fps: DataFrame, k: int = 4, tile: int = 8192) -> DataFrame:
+def meet(sig: np.ndarray, fp: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links among the fingerprints that share a signature: the equality join, each bucket then verified."""
+    order = np.argsort(sig, kind="stable")
+    sig, fp = sig[order], fp[order]
+    edge = np.flatnonzero(sig[1:] != sig[:-1]) + 1
+    begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
+    size = ends - begins
+    two = begins[size == 2]  # nearly all buckets that are not single
+    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= k]
+    nodes, roots = [np.maximum(fp[near], fp[near + 1])], [np.minimum(fp[near], fp[near + 1])]
+    for s, e in zip(begins[size > 2].tolist(), ends[size > 2].tolist()):
+        a, b = bucket_links(fp[s:e], k)
+        nodes.append(a)
+        roots.append(b)
+    return nodes, roots
+
+
+def links(fps: DataFrame, k: int = 4, blocks: int = 5) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs of distinct fingerprints at most k bits apart."""
-    signed = signatures(fps, k)
-    counts = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = signed.join(counts, "sig")
-    parts = F.expr(f"cast(ceil(n / {tile}) as int)")
-    own = F.pmod(F.hash("fp"), F.col("parts"))
-    dealt = met.withColumn("parts", parts).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("sig", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "fp")
-    grouped = dealt.repartition("sig", "ti", "tj").sortWithinPartitions("sig", "ti", "tj")
+    masks, n = variants(k, blocks), buckets(fps.sparkSession)
 
-    def run(batches):
+    def route(fp, v):
+        sig = fp & np.uint64(masks[v])
+        return sig, (mix(sig + np.uint64(v * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(16)) % np.uint64(n)
+
+    def send(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            parts: list[list[bytes]] = [[] for _ in range(n)]
+            counts = np.zeros((n, len(masks)), "<u4")
+            for v in range(len(masks)):
+                _, to = route(fp, v)
+                order = np.argsort(to, kind="stable")
+                counts[:, v] = np.bincount(to.astype(np.int64), minlength=n)
+                at = 0
+                for b, c in enumerate(counts[:, v].tolist()):
+                    if c:
+                        parts[b].append(fp[order[at : at + c]].tobytes())
+                        at += c
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([counts[b].tobytes() + b"".join(parts[b]) for b in range(n)], pa.binary())], ["bucket", "payload"])
+
+    def settle(batches):
         import pyarrow as pa
 
-        def emit(keys, fp):
-            """Links of the groups of consecutive equal keys."""
-            edge = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-            begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
-            size = ends - begins
-            # groups of two, nearly all of them, at once
-            two = begins[size == 2]
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= k]
-            nodes, roots = [np.maximum(fp[near], fp[near + 1])], [np.minimum(fp[near], fp[near + 1])]
-            for s, e in zip(begins[size > 2].tolist(), ends[size > 2].tolist()):
-                a, b = bucket_links(fp[s:e], k)
-                nodes.append(a)
-                roots.append(b)
-            a, b = np.concatenate(nodes), np.concatenate(roots)
-            pair = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-            pair = pair[pair[:, 0] != pair[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
-
-        keep_k, keep_f = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        held: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
-            keys = np.concatenate([keep_k, np.stack(cols, axis=1)])
-            fp = np.concatenate([keep_f, batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(fp):
-                continue
-            last = np.any(keys != keys[-1], axis=1)
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last group may go on
-            if cut:
-                yield emit(keys[:cut], fp[:cut])
-            keep_k, keep_f = keys[cut:], fp[cut:]
-        if len(keep_f):
-            yield emit(keep_k, keep_f)
-
-    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = 4, tile: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(data, "<u4", len(masks)).astype(np.int64)
+                ends = np.cumsum(counts)
+                fp = np.frombuffer(data, "<u8", int(ends[-1]), 4 * len(masks))
+                own = held.setdefault(b, [[] for _ in masks])
+                for v in np.flatnonzero(counts).tolist():
+                    own[v].append(fp[ends[v] - counts[v] : ends[v]])
+        for own in held.values():
+            nodes, roots = [], []
+            for v, parts in enumerate(own):
+                if parts:
+                    fp = np.concatenate(parts)
+                    a, b = meet(route(fp, v)[0], fp, k)
+                    nodes += a
+                    roots += b
+            if nodes:
+                pair = np.unique(np.stack([np.concatenate(nodes), np.concatenate(roots)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
+
+    sent = fps.select("fp").mapInArrow(send, "bucket int, payload binary")
+    return sent.repartition(n, "bucket").mapInArrow(settle, "a bigint, b bigint").where("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = 4, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id: the least doc_id reachable by fingerprints at most k bits apart)."""
     prints = save(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     first = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(first, k, tile))
+    found = components(links(first, k, blocks))
     # least doc_id of each component, then of each fingerprint
     rooted = first.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
