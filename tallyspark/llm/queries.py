@@ -22,12 +22,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return verdicts.drop("_k1", "_k2")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keep: not judged toxic, and not of clearly low quality."""
+    from .quality import classify
+
+    found = classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return found.select("*", ((F.col("toxic_score") < 0.5) & (F.col("quality_score") >= 0.2)).alias("keep"))
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, k=4)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneserney import fit, score_texts
+    from .langid import fold
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_texts(docs, fit(docs.where(fold("doc_id", 5) != 1)), ["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import deduplicate_substrings
 
@@ -91,5 +108,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("_k1", "_k2")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op4_substring_dedup, op5_language_id, op6_warc_archive, op7_nearest_neighbours, op8_url_filter, op9_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash_near_duplicates, op3_lm_score, op4_substring_dedup, op5_language_id, op6_warc_archive, op7_nearest_neighbours, op8_url_filter, op9_packing, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL}
