@@ -27,32 +27,38 @@ from .common import LOWER, buckets, chunks, mix, save, slices, utf8
 from .components import components
 
 
-def fingerprint_texts(texts: list[bytes], shingle: int) -> np.ndarray:
-    """64-bit SimHash of each text's lower-cased word shingles (repeats count), by XXH64 with seed 42."""
+def fingerprint_texts(texts: list[bytes], shingle: int, words: int = 1) -> np.ndarray:
+    """SimHash of each text's lower-cased word shingles (repeats count), by XXH64 with seed 42: 64 bits.
+
+    With words > 1 a row of so many 64-bit words: the further ones vote with mixed hashes of the same shingles.
+    """
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), words), np.uint64)
     hashes, sizes, at = [], [], []
 
     def flush():
         if hashes:
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            n = np.array(sizes)
-            votes = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=np.int32)
-            out[at] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            h, n = np.array(hashes, "<u8"), np.array(sizes)
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            for w in range(words):
+                own = h if w == 0 else mix(h + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64))
+                bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+                out[at, w] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
         hashes.clear(), sizes.clear(), at.clear()
 
     table = LOWER.tobytes()
     for i, text in enumerate(texts):
-        words = text.translate(table).split()
-        if not words:
+        tokens = text.translate(table).split()
+        if not tokens:
             continue
-        flat = b" ".join(words)
-        if len(words) <= shingle:
+        flat = b" ".join(tokens)
+        if len(tokens) <= shingle:
             own = [digest(flat, 42)]
         else:
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
             begins = np.concatenate([[0], ends[:-1] + 1])
             own = [digest(flat[s:e], 42) for s, e in zip(begins.tolist(), ends[shingle - 1 :].tolist())]
         hashes += own
@@ -61,7 +67,7 @@ def fingerprint_texts(texts: list[bytes], shingle: int) -> np.ndarray:
         if len(hashes) > 200_000:
             flush()
     flush()
-    return out
+    return out if words > 1 else out.ravel()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,60 +139,86 @@ def meet(sig: np.ndarray, fp: np.ndarray, k: int) -> tuple[list[np.ndarray], lis
     return nodes, roots
 
 
-def links(fps: DataFrame, k: int = 4, blocks: int = 5) -> DataFrame:
-    """Links (a, b) whose connected components are those of all pairs of distinct fingerprints at most k bits apart."""
-    masks, n = variants(k, blocks), buckets(fps.sparkSession)
+def packed_join(rows: DataFrame, columns: int, n_variants: int, sign, rejoin, near: int) -> DataFrame:
+    """Equality join of signatures: links (a, b) of fingerprints that share one and are at most `near` bits apart.
 
-    def route(fp, v):
-        sig = fp & np.uint64(masks[v])
-        return sig, (mix(sig + np.uint64(v * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(16)) % np.uint64(n)
+    sign(columns of a batch) gives the fingerprints and, for each variant, their signatures. rejoin(fp, v) gives
+    a variant's signatures from the fingerprints alone; where that is None, signatures (then under 24 bits) travel too.
+    """
+    n = buckets(rows.sparkSession)
 
     def send(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            fp, signed = sign([batch.column(i) for i in range(columns)])
             parts: list[list[bytes]] = [[] for _ in range(n)]
-            counts = np.zeros((n, len(masks)), "<u4")
-            for v in range(len(masks)):
-                _, to = route(fp, v)
+            marks: list[list[bytes]] = [[] for _ in range(n)]
+            counts = np.zeros((n, n_variants), "<u4")
+            for v, sig in enumerate(signed):
+                to = (mix(sig + np.uint64(v * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(16)) % np.uint64(n)
                 order = np.argsort(to, kind="stable")
                 counts[:, v] = np.bincount(to.astype(np.int64), minlength=n)
-                at = 0
+                at, fps = 0, fp[order]
+                low = None if rejoin else np.ascontiguousarray(sig[order].view(np.uint8).reshape(-1, 8)[:, :3])
                 for b, c in enumerate(counts[:, v].tolist()):
                     if c:
-                        parts[b].append(fp[order[at : at + c]].tobytes())
+                        parts[b].append(fps[at : at + c].tobytes())
+                        if low is not None:
+                            marks[b].append(low[at : at + c].tobytes())
                         at += c
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([counts[b].tobytes() + b"".join(parts[b]) for b in range(n)], pa.binary())], ["bucket", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([counts[b].tobytes() + b"".join(parts[b]) + b"".join(marks[b]) for b in range(n)], pa.binary())], ["bucket", "payload"])
 
     def settle(batches):
         import pyarrow as pa
 
-        held: dict[int, list[list[np.ndarray]]] = {}
+        held: dict[int, list[list[tuple]]] = {}
         for batch in batches:
             for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(data, "<u4", len(masks)).astype(np.int64)
+                counts = np.frombuffer(data, "<u4", n_variants).astype(np.int64)
                 ends = np.cumsum(counts)
-                fp = np.frombuffer(data, "<u8", int(ends[-1]), 4 * len(masks))
-                own = held.setdefault(b, [[] for _ in masks])
+                fp = np.frombuffer(data, "<u8", int(ends[-1]), 4 * n_variants)
+                low = None if rejoin else np.frombuffer(data, np.uint8, 3 * len(fp), 4 * n_variants + 8 * len(fp)).reshape(-1, 3)
+                own = held.setdefault(b, [[] for _ in range(n_variants)])
                 for v in np.flatnonzero(counts).tolist():
-                    own[v].append(fp[ends[v] - counts[v] : ends[v]])
+                    s, e = ends[v] - counts[v], ends[v]
+                    own[v].append((fp[s:e], None if low is None else low[s:e]))
         for own in held.values():
             nodes, roots = [], []
             for v, parts in enumerate(own):
                 if parts:
-                    fp = np.concatenate(parts)
-                    a, b = meet(route(fp, v)[0], fp, k)
+                    fp = np.concatenate([x[0] for x in parts])
+                    if rejoin:
+                        sig = rejoin(fp, v)
+                    else:
+                        wide = np.zeros((len(fp), 4), np.uint8)
+                        wide[:, :3] = np.concatenate([x[1] for x in parts])
+                        sig = wide.view("<u4").ravel()
+                    a, b = meet(sig, fp, near)
                     nodes += a
                     roots += b
             if nodes:
                 pair = np.unique(np.stack([np.concatenate(nodes), np.concatenate(roots)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
 
-    sent = fps.select("fp").mapInArrow(send, "bucket int, payload binary")
+    sent = rows.repartition(n, rows.columns[0]).mapInArrow(send, "bucket int, payload binary")
     return sent.repartition(n, "bucket").mapInArrow(settle, "a bigint, b bigint").where("a <> b").distinct()
 
 
+def links(fps: DataFrame, k: int = 4, blocks: int = 5) -> DataFrame:
+    """Links (a, b) whose connected components are those of all pairs of distinct fingerprints at most k bits apart."""
+    masks = variants(k, blocks)
+
+    def rejoin(fp, v):
+        return fp & np.uint64(masks[v])
+
+    def sign(columns):
+        fp = columns[0].to_numpy(zero_copy_only=False).view(np.uint64)
+        return fp, (rejoin(fp, v) for v in range(len(masks)))
+
+    return packed_join(fps.select("fp"), 1, len(masks), sign, rejoin, k)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = 4, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id: the least doc_id reachable by fingerprints at most k bits apart)."""
     prints = save(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
