@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 _made: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,14 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
-        _made.append((spark, found))
+        _kept.append((spark, found))
     return found.rstrip("/")
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed by release() or at exit."""
+def shared_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, removed by release() or, if it is to be kept that long, at exit."""
     path = f"{shared_dir(spark)}/tallyspark/{uuid.uuid4().hex}-{tag}"
-    _made.append((spark, path))
+    (_kept if keep else _made).append((spark, path))
     return path
 
 
@@ -51,23 +53,22 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
+def release(made: list | None = None) -> None:
     """Delete the shared tables made so far; results that are not yet written must not depend on them."""
-    while _made:
-        spark, path = _made.pop()
+    made = _made if made is None else made
+    while made:
+        spark, path = made.pop()
         try:
             sc = spark.sparkContext
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; files in a folder of our own go with the machine
+        except Exception:  # the session has ended
             local = local_path(path)
             if local:
-                import shutil
-
                 shutil.rmtree(local, ignore_errors=True)
 
 
-atexit.register(release)
+atexit.register(lambda: (release(), release(_kept)))
 
 
 def buckets(spark: SparkSession) -> int:
