@@ -1,0 +1 @@
+"""Empty on purpose: the engine's commands are one-shot batch reports, with no streaming semantics to express."""
