@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bytemodel as B
 from ..functions.decode import decimal_number, ticks
-from ..functions.text import display_name, fold, is_synthetic, item_folder_id, item_key_name, join_path
+from ..functions.text import fold, is_synthetic, item_folder_id, item_key_name, join_path
+from ..plans.shared import written
 from ..sources.store import Store, first, is_folder_evidence
 from .hierarchy import folder_paths, folder_table
 from .windows import descending_block, lag_in_order, rank_in_order, running_sum
@@ -146,8 +147,9 @@ def explain() -> Column:
 
 def cost(store: Store) -> CostReport:
     """The whole analysis: documents, owners, reconciliation."""
-    postings = posting_costs(store)
-    entries = term_entries(postings)
+    # each is read more than once: computed once, kept where executors can be lost
+    postings = written(posting_costs(store))
+    entries = written(term_entries(postings))
     by_doc = document_costs(postings, entries)
     norms = store.field_infos.where("is_indexed and has_norms").groupBy("segment").agg(F.count(F.lit(1)).alias("norm_bytes"))
     docs = owners(store).join(store.stored_bytes(), ["segment", "doc"]).join(norms, "segment", "left").join(by_doc, ["segment", "doc"], "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.cost import COUNTERS, CostReport, cost
 from ..operators.windows import rank_in_order
 from ..sources.store import Store
+from .shared import written
 
 EPOCH = 11_644_473_600_000_000  # microseconds from 1601 to 1970
 
@@ -83,14 +84,14 @@ def texts_store(spark: SparkSession, sf_dir: str) -> Store:
     index = spark.range(1).selectExpr("0 AS segment", f"{4 * start} AS doc_id", "false AS deleted", _fields(("idxv", one("'7'"))))
     docs = items.unionByName(metas).unionByName(langs).unionByName(sources).unionByName(top).unionByName(index)
     # numbers within the segment, in order of scan
-    docs = rank_in_order(docs, ["segment"], F.expr("doc_id div 65536"), ["doc_id"], "doc").withColumn("doc", F.col("doc").cast("int"))
-
-    numbers = docs.where(F.map_contains_key("fields", F.lit("id"))).select("segment", "doc", F.expr("doc_id div 2 AS k"))
+    numbers = written(rank_in_order(docs.select("segment", "doc_id"), ["segment"], F.expr("doc_id div 65536"), ["doc_id"], "doc").withColumn("doc", F.col("doc").cast("int")))
+    docs = docs.join(numbers, ["segment", "doc_id"])
+    numbers = numbers.where(f"doc_id < {start} and doc_id % 2 = 0").select("segment", "doc", F.expr("doc_id div 2 AS k"))
     rows = d.select("k", "text", "lang", "source").join(numbers, "k")
     words = rows.select("segment", "doc", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "term")).where("term <> ''")
     content = words.groupBy("segment", "doc", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("segment", F.lit("content").alias("field"), "term", "doc", F.size("positions").alias("freq"), "positions")
     single = lambda f: rows.select("segment", F.lit(f).alias("field"), F.col(f).alias("term"), "doc", F.lit(1).alias("freq"), F.lit(None).cast("array<int>").alias("positions"))
-    postings = content.unionByName(single("lang")).unionByName(single("source")).withColumn("payloads", F.lit(None).cast("array<int>"))
+    postings = written(content.unionByName(single("lang")).unionByName(single("source")).withColumn("payloads", F.lit(None).cast("array<int>")))
     flags = [("content", 0, True, True, True, True, False), ("lang", 1, True, False, False, False, False), ("source", 2, True, False, False, False, False), ("text", 3, False, False, False, False, False), ("id", 4, False, False, False, False, False)]
     infos = spark.createDataFrame([(s, *f) for s in range(3) for f in flags], INFOS)
     return Store(docs, postings, infos, None)
@@ -110,8 +111,6 @@ def files_of(spark: SparkSession, report: CostReport) -> DataFrame:
 def texts_report(spark: SparkSession, sf_dir: str) -> CostReport:
     """The cost report of the texts store, reconciled with its derived files."""
     from ..operators.cost import reconcile
-    from .shared import written
-
     store = texts_store(spark, sf_dir)
     empty = spark.createDataFrame([], "segment int, container string, name string, length bigint")
     store.store_files = empty
