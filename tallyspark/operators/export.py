@@ -82,7 +82,7 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", bom: bool = True,
     """
     rows = df.orderBy(*order) if order else df
     lines = csv_text(rows, delimiter)
-    head = ("﻿" if bom else "") + delimiter.join(df.columns)
+    head = ("\ufeff" if bom else "") + delimiter.join(df.columns)
 
     headed(lines, head).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 

@@ -490,7 +490,7 @@ def _line(name, files, folders, size, kind):
 
 
 FAULTY = [
-    "﻿" + HEAD, _line("C:\\", 1, 1, 5, DRIVE), _line("Root", 9, 9, 30, ROOT), _line("C:\\", 2, 2, 30, DRIVE), _line("C:\\a\\early", 0, 0, 1, FILE), _line("C:\\a", 2, 1, 20, DIR), _line("C:\\a\\f", 0, 0, 15, FILE), "",
+    "\ufeff" + HEAD, _line("C:\\", 1, 1, 5, DRIVE), _line("Root", 9, 9, 30, ROOT), _line("C:\\", 2, 2, 30, DRIVE), _line("C:\\a\\early", 0, 0, 1, FILE), _line("C:\\a", 2, 1, 20, DIR), _line("C:\\a\\f", 0, 0, 15, FILE), "",
     _line("C:\\A\\g", 0, 0, 5, FILE), _line("C:\\bare", 0, 0, 3, DIR), _line("C:\\bare\\x", 0, 0, 3, FILE), _line("Root\\y", 0, 0, 3, FILE), "short,1,2", _line("lost", 0, 0, 1, FILE), _line("C:\\a\\sub", 1, 0, 4, DIR), _line("C:\\a\\sub\\z", 0, 0, 4, FILE),
 ]
 

@@ -67,7 +67,7 @@ def test_csv_file_has_mark_and_crlf(spark, tmp_path):
 
     write_csv(spark.createDataFrame([(1, "a,b"), (2, " x")], "i int, v string"), str(tmp_path / "out"), order=["i"])
     part = next((tmp_path / "out").glob("part-*"))
-    assert part.read_bytes().decode() == '﻿i,v\r\n1,"a,b"\r\n2," x"\r\n'
+    assert part.read_bytes().decode() == '\ufeffi,v\r\n1,"a,b"\r\n2," x"\r\n'
 
 
 def test_store_round_trip(spark, tmp_path):
