@@ -199,9 +199,9 @@ def extend(routed: DataFrame, length: int, n_buckets: int, limit: int, hot: int,
     return routed.repartition(n_buckets, "bucket").mapInArrow(run, ROUTED)
 
 
-def repeats(docs: DataFrame, length: int, gram: int = 6, chunk: int = 600_000, limit: int = 48 << 20, hot: int = 20_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int, gram: int = 6, chunk: int = 300_000, limit: int = 32 << 20, hot: int = 20_000) -> DataFrame:
     """(_k1, _k2, spans: array of (s, e), word intervals that lie in repeated windows) for docs with _k1, _k2, text."""
-    n = buckets(docs.sparkSession)
+    n = 4 * buckets(docs.sparkSession)  # a bucket is expanded whole when it is settled
     settled = save(extend(seeds(docs.select("_k1", "_k2", "text"), length, gram, n, chunk), length, n, limit, hot, False), "repeats")
     # anchors too frequent for one bucket: by single window
     again = extend(settled.where("payload is not null"), length, n, limit, hot, True)
