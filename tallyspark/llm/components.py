@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): the components of a task's own links, as one link from each node but the least of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        if (low == high).all():
+            break
+        # labels are roots here: the higher one of a link goes below the lower one, then all paths are shortened
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    below = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[below], nodes[label[below]]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of edges (a, b: any orderable type) with the least node of its component: (node, root).
 

@@ -8,7 +8,7 @@ bit share a signature. Rows with one signature meet, and are verified by their d
 
 No pairs are made: those that meet are searched breadth-first among the ones not reached yet, and each reached one
 is linked to the least fingerprint of its connected part, so n that meet yield fewer than n links and lose no
-connection. Exact copies share a fingerprint and count once from the start. Fingerprints travel packed, a binary
+connection; a bucket joins the links of all its variants into one such forest before it sends them. Exact copies share a fingerprint and count once from the start. Fingerprints travel packed, a binary
 row a bucket; a bucket holds eight bytes a fingerprint and variant.
 
 A null or empty text, or one with no words, has fingerprint zero, linked like any other. Repeated rows are
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, buckets, chunks, mix, save, slices, utf8
-from .components import components
+from .components import components, forest
 
 
 def fingerprint_texts(texts: list[bytes], shingle: int, words: int = 1) -> np.ndarray:
@@ -198,8 +198,8 @@ def packed_join(rows: DataFrame, columns: int, n_variants: int, sign, rejoin, ne
                     nodes += a
                     roots += b
             if nodes:
-                pair = np.unique(np.stack([np.concatenate(nodes), np.concatenate(roots)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
+                pair = forest(np.concatenate(nodes), np.concatenate(roots))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pair], ["a", "b"])
 
     sent = rows.repartition(n, rows.columns[0]).mapInArrow(send, "bucket int, payload binary")
     return sent.repartition(n, "bucket").mapInArrow(settle, "a bigint, b bigint").where("a <> b").distinct()

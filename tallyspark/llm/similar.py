@@ -64,15 +64,15 @@ def _sign(columns):
 
 
 def group_links(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(row, row): a forest over the rows, by breadth-first search among rows at most `most` bits apart."""
+    """(row, row): stars over the rows, by breadth-first search among rows at most `most` bits apart."""
     left, out = np.arange(len(wide)), []
     while len(left) > 1:
-        front, left = [left[0]], left[1:]
+        pivot, front, left = int(left[0]), [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
             near = np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1) <= most
             got = left[near]
-            out += [(at, i) for i in got.tolist()]
+            out += [(pivot, i) for i in got.tolist()]
             front += got.tolist()
             left = left[~near]
     return out

@@ -361,6 +361,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_forest_keeps_components():
+    from tallyspark.llm.components import forest
+
+    for n, m in ((30, 10), (30, 60), (200, 150), (1, 1)):
+        a, b = rng.integers(0, n, m).astype(np.uint64), rng.integers(0, n, m).astype(np.uint64)
+        of = {int(x): int(x) for x in [*a, *b]}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist()):
+                of[x] = of[y] = min(of[x], of[y])
+        node, root = forest(a, b)
+        assert {x: r for x, r in of.items() if x != r} == dict(zip(node.tolist(), root.tolist()))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
