@@ -8,8 +8,9 @@ bit share a signature. Rows with one signature meet, and are verified by their d
 
 No pairs are made: those that meet are searched breadth-first among the ones not reached yet, and each reached one
 is linked to the least fingerprint of its connected part, so n that meet yield fewer than n links and lose no
-connection; a bucket joins the links of all its variants into one such forest before it sends them. Exact copies share a fingerprint and count once from the start. Fingerprints travel packed, a binary
-row a bucket; a bucket holds eight bytes a fingerprint and variant.
+connection; a bucket joins the links of all its variants into one such forest before it sends them. Exact copies
+share a fingerprint and count once from the start. Fingerprints travel packed, a binary row a bucket, to the buckets
+of either half of each segment: the half without the wildcard is the same in all fingerprints that share a signature.
 
 A null or empty text, or one with no words, has fingerprint zero, linked like any other. Repeated rows are
 separate rows of one component; a null id never is the least. Other columns are ignored.
@@ -139,13 +140,23 @@ def meet(sig: np.ndarray, fp: np.ndarray, k: int) -> tuple[list[np.ndarray], lis
     return nodes, roots
 
 
-def packed_join(rows: DataFrame, columns: int, n_variants: int, sign, rejoin, near: int) -> DataFrame:
+def halves(bits: list[int]) -> list[tuple[int, list[int]]]:
+    """A segment's bits as (mask of one half, single-bit masks of the other), both ways round.
+
+    The signatures whose wildcard lies in one half all hold the other half whole, so it decides where they meet, and a
+    fingerprint travels twice a segment, not once a wildcard.
+    """
+    cut = len(bits) // 2
+    return [(sum(1 << b for b in whole), [1 << b for b in other]) for whole, other in ((bits[:cut], bits[cut:]), (bits[cut:], bits[:cut]))]
+
+
+def packed_join(rows: DataFrame, columns: int, keys: list[tuple[int, list[int]]], sign, rejoin, near: int) -> DataFrame:
     """Equality join of signatures: links (a, b) of fingerprints that share one and are at most `near` bits apart.
 
-    sign(columns of a batch) gives the fingerprints and, for each variant, their signatures. rejoin(fp, v) gives
-    a variant's signatures from the fingerprints alone; where that is None, signatures (then under 24 bits) travel too.
+    sign(columns of a batch) gives the fingerprints and, for each of the keys (see halves), their segments. rejoin(fp, v)
+    gives key v's segments from the fingerprints alone; where that is None, segments (then at most 24 bits) travel too.
     """
-    n = buckets(rows.sparkSession)
+    n, n_keys = buckets(rows.sparkSession), len(keys)
 
     def send(batches):
         import pyarrow as pa
@@ -154,13 +165,13 @@ def packed_join(rows: DataFrame, columns: int, n_variants: int, sign, rejoin, ne
             fp, signed = sign([batch.column(i) for i in range(columns)])
             parts: list[list[bytes]] = [[] for _ in range(n)]
             marks: list[list[bytes]] = [[] for _ in range(n)]
-            counts = np.zeros((n, n_variants), "<u4")
-            for v, sig in enumerate(signed):
-                to = (mix(sig + np.uint64(v * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(16)) % np.uint64(n)
+            counts = np.zeros((n, n_keys), "<u4")
+            for v, segment in enumerate(signed):
+                to = (mix((segment & np.uint64(keys[v][0])) + np.uint64((v + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(16)) % np.uint64(n)
                 order = np.argsort(to, kind="stable")
                 counts[:, v] = np.bincount(to.astype(np.int64), minlength=n)
                 at, fps = 0, fp[order]
-                low = None if rejoin else np.ascontiguousarray(sig[order].view(np.uint8).reshape(-1, 8)[:, :3])
+                low = None if rejoin else np.ascontiguousarray(segment[order].view(np.uint8).reshape(-1, 8)[:, :3])
                 for b, c in enumerate(counts[:, v].tolist()):
                     if c:
                         parts[b].append(fps[at : at + c].tobytes())
@@ -175,11 +186,11 @@ def packed_join(rows: DataFrame, columns: int, n_variants: int, sign, rejoin, ne
         held: dict[int, list[list[tuple]]] = {}
         for batch in batches:
             for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(data, "<u4", n_variants).astype(np.int64)
+                counts = np.frombuffer(data, "<u4", n_keys).astype(np.int64)
                 ends = np.cumsum(counts)
-                fp = np.frombuffer(data, "<u8", int(ends[-1]), 4 * n_variants)
-                low = None if rejoin else np.frombuffer(data, np.uint8, 3 * len(fp), 4 * n_variants + 8 * len(fp)).reshape(-1, 3)
-                own = held.setdefault(b, [[] for _ in range(n_variants)])
+                fp = np.frombuffer(data, "<u8", int(ends[-1]), 4 * n_keys)
+                low = None if rejoin else np.frombuffer(data, np.uint8, 3 * len(fp), 4 * n_keys + 8 * len(fp)).reshape(-1, 3)
+                own = held.setdefault(b, [[] for _ in range(n_keys)])
                 for v in np.flatnonzero(counts).tolist():
                     s, e = ends[v] - counts[v], ends[v]
                     own[v].append((fp[s:e], None if low is None else low[s:e]))
@@ -189,17 +200,20 @@ def packed_join(rows: DataFrame, columns: int, n_variants: int, sign, rejoin, ne
                 if parts:
                     fp = np.concatenate([x[0] for x in parts])
                     if rejoin:
-                        sig = rejoin(fp, v)
+                        segment = rejoin(fp, v)
                     else:
                         wide = np.zeros((len(fp), 4), np.uint8)
                         wide[:, :3] = np.concatenate([x[1] for x in parts])
-                        sig = wide.view("<u4").ravel()
-                    a, b = meet(sig, fp, near)
-                    nodes += a
-                    roots += b
-            if nodes:
-                pair = forest(np.concatenate(nodes), np.concatenate(roots))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pair], ["a", "b"])
+                        segment = wide.view("<u4").ravel()
+                    for bit in keys[v][1]:
+                        a, b = meet(segment & ~segment.dtype.type(bit), fp, near)
+                        nodes += a
+                        roots += b
+                    # one forest for all that has met so far
+                    node, root = forest(np.concatenate(nodes), np.concatenate(roots))
+                    nodes, roots = [node], [root]
+            if nodes and len(nodes[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)) for x in (nodes, roots)], ["a", "b"])
 
     sent = rows.repartition(n, rows.columns[0]).mapInArrow(send, "bucket int, payload binary")
     return sent.repartition(n, "bucket").mapInArrow(settle, "a bigint, b bigint").where("a <> b").distinct()
@@ -207,16 +221,18 @@ def packed_join(rows: DataFrame, columns: int, n_variants: int, sign, rejoin, ne
 
 def links(fps: DataFrame, k: int = 4, blocks: int = 5) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs of distinct fingerprints at most k bits apart."""
-    masks = variants(k, blocks)
+    bits = [[low + i for low, width in segment for i in range(width)] for segment in segments(k, blocks)]
+    keys = [key for own in bits for key in halves(own)]
+    masks = [sum(1 << b for b in own) for own in bits]
 
     def rejoin(fp, v):
-        return fp & np.uint64(masks[v])
+        return fp & np.uint64(masks[v // 2])
 
     def sign(columns):
         fp = columns[0].to_numpy(zero_copy_only=False).view(np.uint64)
-        return fp, (rejoin(fp, v) for v in range(len(masks)))
+        return fp, (rejoin(fp, v) for v in range(len(keys)))
 
-    return packed_join(fps.select("fp"), 1, len(masks), sign, rejoin, k)
+    return packed_join(fps.select("fp"), 1, keys, sign, rejoin, k)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = 4, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, save, slices, utf8
 from .components import components
-from .simhash import fingerprint_texts, packed_join
+from .simhash import fingerprint_texts, halves, packed_join
 
 WORDS, SEGMENTS, WIDTH = 8, 20, 22
 
@@ -60,7 +60,7 @@ def _segment(words: np.ndarray, j: int) -> np.ndarray:
 def _sign(columns):
     words = np.frombuffer(b"".join(columns[1].to_pylist()), "<u8").reshape(-1, WORDS)
     fp = columns[0].to_numpy(zero_copy_only=False).view(np.uint64)
-    return fp, (_segment(words, j) & ~np.uint64(1 << bit) for j in range(SEGMENTS) for bit in range(WIDTH))
+    return fp, (_segment(words, v // 2) for v in range(2 * SEGMENTS))
 
 
 def group_links(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -85,7 +85,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     most = round(512 * share + math.sqrt(512 * share * (1 - share)))
     prints = save(wide_fingerprints(docs, shingle, id_col, text_col), "wide")
     first = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")), "distinct")
-    met = components(packed_join(first.select("fp", "wide"), 2, SEGMENTS * WIDTH, _sign, None, loose))
+    met = components(packed_join(first.select("fp", "wide"), 2, halves(list(range(WIDTH))) * SEGMENTS, _sign, None, loose))
 
     members = first.select("fp", "wide").join(met.withColumnRenamed("node", "fp"), "fp")
     sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
