@@ -28,47 +28,49 @@ from .common import LOWER, buckets, chunks, mix, save, slices, utf8
 from .components import components, forest
 
 
-def fingerprint_texts(texts: list[bytes], shingle: int, words: int = 1) -> np.ndarray:
-    """SimHash of each text's lower-cased word shingles (repeats count), by XXH64 with seed 42: 64 bits.
-
-    With words > 1 a row of so many 64-bit words: the further ones vote with mixed hashes of the same shingles.
-    """
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """XXH64 with seed 42 of each of a text's lower-cased word shingles, in their order; one of all words if they are fewer."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    out = np.zeros((len(texts), words), np.uint64)
+    tokens = text.translate(LOWER.tobytes()).split()
+    flat = b" ".join(tokens)
+    if len(tokens) <= shingle:
+        return [digest(flat, 42)] if tokens else []
+    ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    return [digest(flat[s:e], 42) for s, e in zip(begins.tolist(), ends[shingle - 1 :].tolist())]
+
+
+def majority(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits that more than half of each run of hashes have set."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint_texts(texts: list[bytes], shingle: int) -> np.ndarray:
+    """SimHash of each text's lower-cased word shingles (repeats count): 64 bits."""
+    out = np.zeros(len(texts), np.uint64)
     hashes, sizes, at = [], [], []
 
     def flush():
         if hashes:
-            h, n = np.array(hashes, "<u8"), np.array(sizes)
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            for w in range(words):
-                own = h if w == 0 else mix(h + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64))
-                bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-                out[at, w] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            n = np.array(sizes)
+            out[at] = majority(np.array(hashes, "<u8"), np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         hashes.clear(), sizes.clear(), at.clear()
 
-    table = LOWER.tobytes()
     for i, text in enumerate(texts):
-        tokens = text.translate(table).split()
-        if not tokens:
+        own = shingle_hashes(text, shingle)
+        if not own:
             continue
-        flat = b" ".join(tokens)
-        if len(tokens) <= shingle:
-            own = [digest(flat, 42)]
-        else:
-            ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
-            begins = np.concatenate([[0], ends[:-1] + 1])
-            own = [digest(flat[s:e], 42) for s, e in zip(begins.tolist(), ends[shingle - 1 :].tolist())]
         hashes += own
         sizes.append(len(own))
         at.append(i)
         if len(hashes) > 200_000:
             flush()
     flush()
-    return out if words > 1 else out.ravel()
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,20 +107,29 @@ def variants(k: int, blocks: int) -> list[int]:
     return out
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints; rows of several words are a name, which is not compared, and the words to compare."""
+    return np.bitwise_count(a ^ b) if a.ndim == 1 else np.bitwise_count(a[:, 1:] ^ b[..., 1:]).sum(axis=1)
+
+
+def names(fp: np.ndarray) -> np.ndarray:
+    return fp if fp.ndim == 1 else fp[:, 0]
+
+
 def bucket_links(fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprints of one bucket that some other can reach by steps of at most k bits, and the least of each such part."""
-    left, node, root = np.unique(fp), [], []
+    left, node, root = fp[np.unique(names(fp), return_index=True)[1]], [], []
     while len(left) > 1:
         pivot, left = left[0], left[1:]
         front = [pivot]
         while front and len(left):
-            near = np.bitwise_count(left ^ front.pop()) <= k
+            near = apart(left, front.pop()) <= k
             if near.any():
                 got = left[near]
                 left = left[~near]
-                front += got.tolist()
-                node.append(got)
-                root.append(np.full(len(got), pivot, np.uint64))
+                front += list(got)
+                node.append(names(got))
+                root.append(np.full(len(got), pivot if fp.ndim == 1 else pivot[0], np.uint64))
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
     return cat(node), cat(root)
 
@@ -126,15 +137,17 @@ def bucket_links(fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def meet(sig: np.ndarray, fp: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links among the fingerprints that share a signature: the equality join, each bucket then verified."""
     order = np.argsort(sig, kind="stable")
-    sig, fp = sig[order], fp[order]
+    sig = sig[order]
     edge = np.flatnonzero(sig[1:] != sig[:-1]) + 1
     begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
     size = ends - begins
     two = begins[size == 2]  # nearly all buckets that are not single
-    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= k]
-    nodes, roots = [np.maximum(fp[near], fp[near + 1])], [np.minimum(fp[near], fp[near + 1])]
+    a, b = fp[order[two]], fp[order[two + 1]]
+    near = apart(a, b) <= k
+    a, b = names(a[near]), names(b[near])
+    nodes, roots = [np.maximum(a, b)], [np.minimum(a, b)]
     for s, e in zip(begins[size > 2].tolist(), ends[size > 2].tolist()):
-        a, b = bucket_links(fp[s:e], k)
+        a, b = bucket_links(fp[order[s:e]], k)
         nodes.append(a)
         roots.append(b)
     return nodes, roots
@@ -150,11 +163,12 @@ def halves(bits: list[int]) -> list[tuple[int, list[int]]]:
     return [(sum(1 << b for b in whole), [1 << b for b in other]) for whole, other in ((bits[:cut], bits[cut:]), (bits[cut:], bits[:cut]))]
 
 
-def packed_join(rows: DataFrame, columns: int, keys: list[tuple[int, list[int]]], sign, rejoin, near: int) -> DataFrame:
+def packed_join(rows: DataFrame, columns: int, keys: list[tuple[int, list[int]]], sign, rejoin, near: int, words: int = 1) -> DataFrame:
     """Equality join of signatures: links (a, b) of fingerprints that share one and are at most `near` bits apart.
 
     sign(columns of a batch) gives the fingerprints and, for each of the keys (see halves), their segments. rejoin(fp, v)
     gives key v's segments from the fingerprints alone; where that is None, segments (then at most 24 bits) travel too.
+    With words > 1 a fingerprint is a row of so many: its name and the words whose bits are compared.
     """
     n, n_keys = buckets(rows.sparkSession), len(keys)
 
@@ -188,8 +202,9 @@ def packed_join(rows: DataFrame, columns: int, keys: list[tuple[int, list[int]]]
             for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts = np.frombuffer(data, "<u4", n_keys).astype(np.int64)
                 ends = np.cumsum(counts)
-                fp = np.frombuffer(data, "<u8", int(ends[-1]), 4 * n_keys)
-                low = None if rejoin else np.frombuffer(data, np.uint8, 3 * len(fp), 4 * n_keys + 8 * len(fp)).reshape(-1, 3)
+                fp = np.frombuffer(data, "<u8", words * int(ends[-1]), 4 * n_keys)
+                fp = fp if words == 1 else fp.reshape(-1, words)
+                low = None if rejoin else np.frombuffer(data, np.uint8, 3 * len(fp), 4 * n_keys + 8 * fp.size).reshape(-1, 3)
                 own = held.setdefault(b, [[] for _ in range(n_keys)])
                 for v in np.flatnonzero(counts).tolist():
                     s, e = ends[v] - counts[v], ends[v]

@@ -1,15 +1,18 @@
-"""Near duplicates by shingle similarity, from wide SimHash fingerprints and the same deletion-variant join.
-
-At a similarity of 0.8 about 15 % of the bits differ, far more than a 64-bit fingerprint can be searched for. So a
-text gets 512 bits: the first 64 name it and check candidates; the others are cut into 20 segments of 22 bits, each
-indexed with one bit a wildcard. Two texts become candidates if some segment differs by at most one bit, which at
-a similarity of 0.8 fails for one pair in twenty (for one in a hundred at 0.85; near copies mostly meet through
-several others too). Candidates within `loose` bits of 64 form groups, and inside a group links are verified by
-all 512 bits: those that differ by no more than similar texts do.
-
-A group of loosely similar texts is verified in tiles of at most 2 * `tile` distinct texts, so none lands in one
-task. Exact copies count once. A null or empty text has fingerprint zero and is similar to its like. Repeated rows
-are separate rows of one group; other columns are ignored.
+"""Near duplicates by shingle similarity: candidates from wide SimHash fingerprints, decided by exact Jaccard.
+
+A text stands for its set of distinct word shingles, and is named by a hash of that set; texts of one set are copies
+and count once. Two texts are linked if the exact Jaccard similarity of their sets is `similarity` or more.
+
+Candidates come from the deletion-variant join. At a similarity of 0.8 about 15 % of the bits differ, far more than a
+64-bit fingerprint can be searched for. So a text gets 512 bits, on which distinct shingles vote: the first 64 check
+candidates; the others are cut into 20 segments of 22 bits, each indexed with one bit a wildcard. Two texts become
+candidates if some segment differs by at most one bit, which at a similarity of 0.8 fails for one pair in twenty (for
+one in a hundred at 0.85; near copies mostly meet through several others too). Candidates within `loose` bits of 64
+form groups, and inside a group every link is verified by the sets.
+
+A group of loosely similar texts is verified in tiles of at most about 2 * `tile` shingles, so none lands in one task.
+Only texts that have a candidate send their sets. A null or empty text has no shingle and is similar to its like.
+Repeated rows are separate rows of one group; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, save, slices, utf8
+from .common import chunks, mix, save, slices, utf8
 from .components import components
-from .simhash import fingerprint_texts, halves, packed_join
+from .simhash import halves, majority, packed_join, shingle_hashes
 
-WORDS, SEGMENTS, WIDTH = 8, 20, 22
+CHECK, SEGMENTS, WIDTH = 1, 20, 22
+WORDS = CHECK + -(-SEGMENTS * WIDTH // 64)
 
 
 def differing_share(similarity: float) -> float:
@@ -32,91 +36,149 @@ def differing_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, in order."""
+    return [np.unique(np.array(shingle_hashes(t, shingle), "<u8")) for t in texts]
+
+
+def name_of(own: np.ndarray) -> int:
+    """The hash that names a set of shingles, signed."""
+    import xxhash
+
+    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
+def wide_words(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WORDS words a set: the majority of mixed hashes of its shingles; zeros for an empty set."""
+    out = np.zeros((len(sets), WORDS), np.uint64)
+    at = np.array([i for i, own in enumerate(sets) if len(own)], np.int64)
+    if len(at):
+        h, sizes = np.concatenate([sets[i] for i in at]), np.array([len(sets[i]) for i in at])
+        first = np.cumsum(sizes) - sizes
+        for w in range(WORDS):
+            out[at, w] = majority(mix(h + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64)), first, sizes)
+    return out
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, wide: all words as bytes) for every row."""
+    """(doc_id, row: a hash of id and text, fp: the name of its set, n: its shingles, wide: all words as bytes) for every row."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, 1):
-            texts = utf8(batch.column(1))
-            wide = np.concatenate([fingerprint_texts(texts[a:b], shingle, WORDS) for a, b in chunks(texts)] or [np.zeros((0, WORDS), np.uint64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(wide[:, 0]).view(np.int64)), pa.array([r.tobytes() for r in wide], pa.binary())], ["doc_id", "fp", "wide"])
+        for batch in slices(batches, 2):
+            texts = utf8(batch.column(2))
+            fp, n, wide = [], [], []
+            for a, b in chunks(texts):
+                sets = shingle_sets(texts[a:b], shingle)
+                fp += map(name_of, sets)
+                n += map(len, sets)
+                wide += [w.tobytes() for w in wide_words(sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary())], ["doc_id", "row", "fp", "n", "wide"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint, wide binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row bigint, fp bigint, n bigint, wide binary")
 
 
 def _segment(words: np.ndarray, j: int) -> np.ndarray:
-    """Segment j of the bits after the first word."""
+    """Segment j of the bits after the words that check candidates."""
     low = j * WIDTH
-    word, at = 1 + low // 64, low % 64
+    word, at = CHECK + low // 64, low % 64
     out = words[:, word] >> np.uint64(at)
     if at + WIDTH > 64:
         out = out | (words[:, word + 1] << np.uint64(64 - at))
     return out & np.uint64((1 << WIDTH) - 1)
 
 
-def _sign(columns):
+def _checked(columns) -> tuple[np.ndarray, np.ndarray]:
+    """(name and words that check candidates, all words) of a batch of fp and wide."""
     words = np.frombuffer(b"".join(columns[1].to_pylist()), "<u8").reshape(-1, WORDS)
     fp = columns[0].to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.column_stack([fp, words[:, :CHECK]]), words
+
+
+def _sign(columns):
+    fp, words = _checked(columns)
     return fp, (_segment(words, v // 2) for v in range(2 * SEGMENTS))
 
 
-def group_links(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(row, row): stars over the rows, by breadth-first search among rows at most `most` bits apart."""
+def similar_to(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets have this exact Jaccard similarity to `own`, or more; none is empty."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both >= similarity * (sizes + len(own) - both) - 1e-9
+
+
+def group_links(wide: np.ndarray, sets: list[np.ndarray], similarity: float, block: int = 512) -> list[tuple[int, int]]:
+    """(row, row): stars over the rows, by breadth-first search over exact similarities."""
+    # far more bits than similar sets differ in (those of a few shingles differ in more than the share): saves comparing
+    share = differing_share(similarity) + 0.04
+    most = 64 * WORDS * share + 5 * math.sqrt(64 * WORDS * share)
     left, out = np.arange(len(wide)), []
     while len(left) > 1:
-        pivot, front, left = int(left[0]), [left[0]], left[1:]
+        pivot, front, left = int(left[0]), [int(left[0])], left[1:]
         while front and len(left):
             at = front.pop()
             near = np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1) <= most
-            got = left[near]
-            out += [(pivot, i) for i in got.tolist()]
-            front += got.tolist()
+            maybe = np.flatnonzero(near)
+            for a in range(0, len(maybe), block):
+                own = maybe[a : a + block]
+                near[own] = similar_to(sets[at], [sets[i] for i in left[own]], similarity)
+            got = left[near].tolist()
+            out += [(pivot, i) for i in got]
+            front += got
             left = left[~near]
     return out
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, loose: int = 18, tile: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, loose: int = 18, tile: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, group_id: the least doc_id of the texts linked by similarities of `similarity` or more)."""
-    share = differing_share(similarity)
-    # one standard deviation above the mean, to find five in six of those just at the threshold
-    most = round(512 * share + math.sqrt(512 * share * (1 - share)))
     prints = save(wide_fingerprints(docs, shingle, id_col, text_col), "wide")
-    first = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")), "distinct")
-    met = components(packed_join(first.select("fp", "wide"), 2, halves(list(range(WIDTH))) * SEGMENTS, _sign, None, loose))
+    # what depends on the set alone is the same in all rows of a name
+    first = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("wide").alias("wide")), "distinct")
+    some = first.where("n > 0")
+    met = save(components(packed_join(some.select("fp", "wide"), 2, halves(list(range(WIDTH))) * SEGMENTS, _sign, None, loose, 1 + CHECK)), "met")
+
+    members = some.select("fp", "row", "n").join(met.withColumnRenamed("node", "fp"), "fp")
+    sizes = members.groupBy("root").agg(F.sum("n").alias("all"))
+    dealt = members.join(sizes, "root").select("row", "fp", "root", F.ceil(F.col("all") / tile).cast("int").alias("parts"))
+    # the texts of members are cut again: rows that repeat id and text once
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(dealt, "row").dropDuplicates(["row"]).select("root", "parts", "fp", "text")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 3):
+            sets = shingle_sets(utf8(batch.column(3)), shingle)
+            wide = wide_words(sets)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["root", "parts", "fp", "wide", "own"])
 
-    members = first.select("fp", "wide").join(met.withColumnRenamed("node", "fp"), "fp")
-    sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    dealt = members.join(sizes, "root").withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).withColumn("own", F.pmod(F.hash("fp"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("root", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "fp", "wide")
+    tiles = texts.mapInArrow(cut, "root bigint, parts int, fp bigint, wide binary, own binary").withColumn("at", F.pmod(F.hash("fp"), F.col("parts")))
+    tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("root", F.least("at", "other").alias("ti"), F.greatest("at", "other").alias("tj"), "fp", "wide", "own")
 
     def verify(batches):
         import pyarrow as pa
 
-        def settle(fps, wides):
-            rows = group_links(np.frombuffer(b"".join(wides), "<u8").reshape(-1, WORDS), most)
-            return [fps[a] for a, _ in rows], [fps[b] for _, b in rows]
-
-        key, fps, wides, a, b = None, [], [], [], []
-        for batch in batches:
-            for root, ti, tj, fp, wide in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (root, ti, tj) != key:
-                    if len(fps) > 1:
-                        x, y = settle(fps, wides)
-                        a += x
-                        b += y
-                    key, fps, wides = (root, ti, tj), [], []
-                fps.append(fp)
-                wides.append(wide)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-        if len(fps) > 1:
-            a, b = settle(fps, wides)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    sure = components(dealt.repartition("root", "ti", "tj").sortWithinPartitions("root", "ti", "tj").mapInArrow(verify, "a bigint, b bigint"))
+        key, fps, wides, sets = None, [], [], []
+
+        def settle():
+            rows = group_links(np.frombuffer(b"".join(wides), "<u8").reshape(-1, WORDS), sets, similarity) if len(fps) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([fps[i] for i, _ in rows], pa.int64()), pa.array([fps[j] for _, j in rows], pa.int64())], ["a", "b"])
+
+        for whole in batches:
+            for batch in slices([whole], 5):
+                for root, ti, tj, fp, wide, own in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                    if (root, ti, tj) != key:
+                        yield settle()
+                        key, fps, wides, sets = (root, ti, tj), [], [], []
+                    fps.append(fp)
+                    wides.append(wide)
+                    sets.append(np.frombuffer(own, "<u8"))
+        yield settle()
+
+    sure = components(tiles.repartition("root", "ti", "tj").sortWithinPartitions("root", "ti", "tj").mapInArrow(verify, "a bigint, b bigint"))
     rooted = first.select("fp", "first").join(sure.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("group_id"))
     of_print = rooted.select("fp", "root").join(least, "root").select("fp", "group_id")

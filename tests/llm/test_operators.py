@@ -87,6 +87,26 @@ def test_similar_groups(spark, empty):
     assert similar_groups(empty).count() == 0
 
 
+def jaccard(a, b, k=5):
+    cut = lambda t: {tuple(t.lower().split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))}
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_need_the_similarity_itself(spark):
+    from tallyspark.llm.similar import similar_groups
+
+    words = iter(range(10**6))
+    fresh = lambda n: " ".join(f"v{next(words)}" for _ in range(n))
+    lines = [(" ".join([fresh(8)] * 20), 100), (" ".join([fresh(7)] * 60), 200)]
+    rows = [line + " " + fresh(n) for line, n in lines for _ in range(4)]
+    body = fresh(400).split()
+    rows += [" ".join(body), " ".join([*body[:360], *fresh(40).split()]), " ".join([*body[:330], *fresh(70).split()])]
+    assert max(jaccard(rows[i], rows[0]) for i in (1, 2, 3)) < 0.1 and jaccard(rows[8], rows[9]) >= 0.8 and 0.6 < jaccard(rows[8], rows[10]) < 0.8 > jaccard(rows[9], rows[10])
+    got = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert got == {i: i for i in range(11)} | {9: 8}
+
+
 def removed(rows, length):
     count = collections.Counter()
     words = [(t or "").encode().split() for _, t in rows]
