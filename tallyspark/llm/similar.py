@@ -4,10 +4,12 @@ A text stands for its set of distinct word shingles, and is named by a hash of t
 and count once. Two texts are linked if the exact Jaccard similarity of their sets is `similarity` or more.
 
 Candidates come from the deletion-variant join. At a similarity of 0.8 about 15 % of the bits differ, far more than a
-64-bit fingerprint can be searched for. So a text gets 512 bits, on which distinct shingles vote: the first 64 check
-candidates; the others are cut into 20 segments of 22 bits, each indexed with one bit a wildcard. Two texts become
-candidates if some segment differs by at most one bit, which at a similarity of 0.8 fails for one pair in twenty (for
-one in a hundred at 0.85; near copies mostly meet through several others too). Candidates within `loose` bits of 64
+64-bit fingerprint can be searched for. So a text gets 960 bits, on which distinct shingles vote: the first 128 check
+candidates; of the others 814 are cut into 37 segments of 22 bits, each indexed with one bit a wildcard. Two texts
+become candidates if some segment differs by at most one bit, which at a similarity of 0.8 fails for one pair in two
+hundred (at 0.85 for hardly any; near copies mostly meet through several others too). The votes of very few shingles
+are too coarse for that; sets of up to `few` that similar ones can differ from in one shingle only are found by the
+names of their subsets that lack one. Candidates within `loose` bits of 128, far more than similar texts differ in,
 form groups, and inside a group every link is verified by the sets.
 
 A group of loosely similar texts is verified in tiles of at most about 2 * `tile` shingles, so none lands in one task.
@@ -27,7 +29,7 @@ from .common import chunks, mix, save, slices, utf8
 from .components import components
 from .simhash import halves, majority, packed_join, shingle_hashes
 
-CHECK, SEGMENTS, WIDTH = 1, 20, 22
+CHECK, SEGMENTS, WIDTH = 2, 37, 22
 WORDS = CHECK + -(-SEGMENTS * WIDTH // 64)
 
 
@@ -60,24 +62,26 @@ def wide_words(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row: a hash of id and text, fp: the name of its set, n: its shingles, wide: all words as bytes) for every row."""
+def wide_fingerprints(docs: DataFrame, shingle: int, few: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row: a hash of id and text, fp: the name of its set, n: its shingles, wide: all words as bytes, less: the
+    names of the set without each of its shingles, for sets of 2 to `few`) for every row."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, 2):
             texts = utf8(batch.column(2))
-            fp, n, wide = [], [], []
+            fp, n, wide, less = [], [], [], []
             for a, b in chunks(texts):
                 sets = shingle_sets(texts[a:b], shingle)
                 fp += map(name_of, sets)
                 n += map(len, sets)
                 wide += [w.tobytes() for w in wide_words(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary())], ["doc_id", "row", "fp", "n", "wide"])
+                less += [[name_of(np.delete(own, i)) for i in range(len(own))] if 1 < len(own) <= few else None for own in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(less, pa.list_(pa.int64()))], ["doc_id", "row", "fp", "n", "wide", "less"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row bigint, fp bigint, n bigint, wide binary")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row bigint, fp bigint, n bigint, wide binary, less array<bigint>")
 
 
 def _segment(words: np.ndarray, j: int) -> np.ndarray:
@@ -133,13 +137,16 @@ def group_links(wide: np.ndarray, sets: list[np.ndarray], similarity: float, blo
     return out
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, loose: int = 18, tile: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, loose: int = 40, tile: int = 1 << 21, few: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, group_id: the least doc_id of the texts linked by similarities of `similarity` or more)."""
-    prints = save(wide_fingerprints(docs, shingle, id_col, text_col), "wide")
+    prints = save(wide_fingerprints(docs, shingle, few, id_col, text_col), "wide")
     # what depends on the set alone is the same in all rows of a name
-    first = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("wide").alias("wide")), "distinct")
+    first = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("wide").alias("wide"), F.min("less").alias("less")), "distinct")
     some = first.where("n > 0")
-    met = save(components(packed_join(some.select("fp", "wide"), 2, halves(list(range(WIDTH))) * SEGMENTS, _sign, None, loose, 1 + CHECK)), "met")
+    links = packed_join(some.select("fp", "wide"), 2, halves(list(range(WIDTH))) * SEGMENTS, _sign, None, loose, 1 + CHECK)
+    subsets = some.where((F.col("n") - 1) / F.col("n") >= similarity).select(F.col("fp").alias("a"), F.explode("less").alias("b"))
+    links = links.union(subsets.join(some.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
+    met = save(components(links), "met")
 
     members = some.select("fp", "row", "n").join(met.withColumnRenamed("node", "fp"), "fp")
     sizes = members.groupBy("root").agg(F.sum("n").alias("all"))

@@ -107,6 +107,23 @@ def test_similar_groups_need_the_similarity_itself(spark):
     assert got == {i: i for i in range(11)} | {9: 8}
 
 
+def test_similar_pairs_at_the_threshold_are_found(spark):
+    from tallyspark.llm.similar import similar_groups
+
+    words = iter(range(10**6))
+    fresh = lambda n: [f"u{next(words)}" for _ in range(n)]
+    rows = []
+    for n, pairs in ((364, 300), (8, 100)):  # 360 of 450 shingles in common; 4 of 5
+        for _ in range(pairs):
+            own = fresh(n)
+            rows += [own + fresh(45), own + fresh(45)] if n > 8 else [own, own + fresh(1)]
+    rows = [" ".join(r) for r in rows]
+    assert all(jaccard(rows[i], rows[i + 1]) == 0.8 for i in (0, 598, 600, 798))
+    got = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    apart = [i for i in range(0, len(rows), 2) if not got[i] == got[i + 1] == i]
+    assert sum(i < 600 for i in apart) <= 6 and not any(i >= 600 for i in apart)
+
+
 def removed(rows, length):
     count = collections.Counter()
     words = [(t or "").encode().split() for _, t in rows]
