@@ -3,11 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. Stages but the last return the columns of documents; a stage works on all that its predecessor kept.
 Null and empty texts are rejected by the first stage, as they have no language. Rows that repeat one doc_id and text
-are near duplicates of each other, and one stays.
+are near duplicates of each other, and one stays. Documents may have further columns of any name, which pass through.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,22 @@ from tallyspark.llm.substring import deduplicate_substrings
 LEAST_SCORE = 0.35
 #: Words of a passage that must not repeat.
 PASSAGE = 50
+#: The columns that stages know; the others are renamed for as long as a stage adds columns of its own.
+KNOWN = {"doc_id", "text", "lang", "n_chars"}
 
 
+def passing(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the documents' further columns out of the way of its own."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in KNOWN else f"_c{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(names).toDF(*docs.columns)
+
+    return run_stage
+
+
+@passing
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: those with no letter, and mixtures that no label leads."""
     release()
@@ -35,6 +50,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+@passing
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more over five-word shingles, keep that with the least doc_id."""
     release()
@@ -47,6 +63,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
+@passing
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words or more that stand elsewhere too; a document left without a word goes."""
     release()
@@ -59,6 +76,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(docs.columns)
 
 
+@passing
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten consecutive words of a benchmark item (all its words, if it has fewer)."""
     release()

@@ -435,3 +435,22 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["decontamination"]) == set(cut) - {24}
     packed = cp.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == set(seen["decontamination"])
+
+
+def test_stages_pass_any_further_column(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    clean = [passage(120) for _ in range(6)]
+    repeat = " ".join(f"q{i}" for i in range(60))
+    texts = [*clean, clean[0] + " more", passage(70) + " " + repeat, repeat + " " + passage(70)]
+    own = ["n_words", "n_removed", "kept", "spans", "_k1", "_k2", "score", "lang_pred", "_text", "k", "id", "n", "_c1"]
+    rows = [(i, t, "en", *(f"{c}{i}" for c in own)) for i, t in enumerate(texts)]
+    spark.createDataFrame([(1, "none of these")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", *own])
+    for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+    assert docs.columns == ["doc_id", "text", "lang", *own]
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert set(got) == set(range(9)) - {6} and "q5" not in got[7]["text"]
+    assert all(r[c] == f"{c}{i}" for i, r in got.items() for c in own)
