@@ -252,7 +252,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """What the driver knows of a model; its arrays stay in the folder."""
 
-    def __init__(self, folder: str, n: int, hot: np.ndarray, hot_sums: np.ndarray, pairs: list[int], words: list[int]):
+    def __init__(self, folder: str, n: int, hot: np.ndarray, hot_sums: np.ndarray, pairs: list[int], words: list[int], made: dict[str, set[int]]):
+        #: the buckets of which there are files, by kind
+        self.made = made
         self.folder, self.n, self.hot, self.hot_sums = folder, n, hot, hot_sums
         self.kinds, self.tokens, self.continuations = words[0], words[1], words[2]
         self.d2 = discounts(*pairs[1:5])
@@ -276,10 +278,8 @@ class Model:
             if not len(at):
                 continue
             if (kind, b) not in self._files:
-                try:
-                    self._files[kind, b] = _read(f"{self.folder}/{kind}-{b}", kind)
-                except (FileNotFoundError, OSError):
-                    self._files[kind, b] = None  # no key fell into this bucket
+                # no file was made where no key fell into the bucket; a failed read of one that was fails the task
+                self._files[kind, b] = _read(f"{self.folder}/{kind}-{b}", kind) if b in self.made[kind] else None
             table = self._files[kind, b]
             if table is None or not len(table[0]):
                 continue
@@ -326,13 +326,15 @@ def fit(train: DataFrame, text_col: str = "text") -> Model:
     counted = save(count_pairs(train, n, hot, folder, text_col), "pairs")
     made = save(count_words(counted, n, folder), "words")
     # a row a bucket, and one a hot word
-    pairs = np.array([r["numbers"] for r in counted.where("kind = 'made'").select("numbers").collect()] or [[0] * 5]).sum(axis=0)
-    words = np.array([r["numbers"] for r in made.select("numbers").collect()] or [[0] * 7]).sum(axis=0)
+    of_pairs, of_words = counted.where("kind = 'made'").select("bucket", "numbers").collect(), made.select("bucket", "numbers").collect()
+    pairs = np.array([r["numbers"] for r in of_pairs] or [[0] * 5]).sum(axis=0)
+    words = np.array([r["numbers"] for r in of_words] or [[0] * 7]).sum(axis=0)
+    files = {"pair": {r["bucket"] for r in of_pairs}, "uni": {r["bucket"] for r in of_words}}
     sums = np.zeros((len(hot), 4), np.int64)
     parts = counted.where("kind = 'hot'").select(F.col("numbers")[0].alias("v"), *(F.col("numbers")[i].alias(f"x{i}") for i in range(1, 5)))
     for r in parts.groupBy("v").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(1, 5))).collect():
         sums[np.searchsorted(hot, np.array([r["v"]]).view(np.uint64)[0])] = r[1:5]
-    return Model(folder, n, hot, sums, pairs.tolist(), words.tolist())
+    return Model(folder, n, hot, sums, pairs.tolist(), words.tolist(), files | {"ctx": files["pair"]})
 
 
 def perplexity(score: float, n: int) -> float:

@@ -454,3 +454,24 @@ def test_stages_pass_any_further_column(spark, tmp_path):
     got = {r["doc_id"]: r for r in docs.collect()}
     assert set(got) == set(range(9)) - {6} and "q5" not in got[7]["text"]
     assert all(r[c] == f"{c}{i}" for i, r in got.items() for c in own)
+
+
+def test_language_model_fails_where_a_file_cannot_be_read(docs):
+    import glob
+    import os
+
+    from tallyspark.llm.common import local_path
+    from tallyspark.llm.kneserney import fit
+
+    model = fit(docs)
+    text = [LONG.encode()]
+    model.score(text)
+    for kind in ("pair", "ctx", "uni"):
+        model._files.clear()
+        files = glob.glob(f"{local_path(model.folder)}/{kind}-*")
+        for f in files:
+            os.rename(f, f + ".away")
+        with pytest.raises(OSError):
+            model.score(text)
+        for f in files:
+            os.rename(f + ".away", f)
