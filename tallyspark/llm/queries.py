@@ -23,7 +23,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """keep: not judged toxic, and not of clearly low quality."""
+    """keep: not judged toxic, and not of clearly low quality.
+
+    documents have no url: source stands for the host and lang, as the only finer grouping at hand, for the path.
+    """
     from .quality import classify
 
     found = classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
