@@ -58,5 +58,5 @@ def resolve(registered: DataFrame, path: str | None = None, name: str | None = N
 def label(registered: DataFrame, path: str) -> str:
     """A store's label: its registered name, else the last part of its path."""
     plain = path.rstrip("\\/")
-    found = registered.where(F.lower(F.rtrim(F.lit("\\/"), F.col("path"))) == plain.lower()).select("name").first()
+    found = registered.where(F.lower(F.rtrim(F.col("path"), F.lit("\\/"))) == plain.lower()).select("name").first()
     return found["name"] if found else plain.replace("\\", "/").rsplit("/", 1)[-1]
