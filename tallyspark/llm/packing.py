@@ -14,6 +14,7 @@ ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -21,63 +22,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import row_key, save
+from .common import row_key, save, slices, thrifty
 
 # ---- tokens -----------------------------------------------------------------------------------------------------
 
 
+class Memo(dict):
+    """Values by key, made where they are missing; forgets what two rounds of `limit` new keys have not asked for."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordEncoder:
-    """Ids of whole texts by a word-end BPE vocabulary, the same as tokenizers' encode, remembered by word.
+    """Ids of whole texts by a word-end BPE vocabulary, the same as tokenizers' encode, remembered by piece.
 
-    The vocabulary's pre-tokeniser drops white space and never looks across it, so a text's ids are those of its
-    white-space-separated words. Words of plain letters, digits and ASCII signs are cut into the pieces that the
-    pre-tokeniser's pattern makes and given to the model; all other words go through the whole tokenizer.
+    The vocabulary's pre-tokeniser lowers letters, cuts a text into pieces by a pattern, drops white space and never
+    looks across it. Where a text has only letters, digits and signs of Latin-1 that its pattern can be stated for, the
+    pieces are cut by that pattern here and each goes to the model once; words with any other character go through the
+    whole tokenizer.
     """
 
     LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-    PIECE = re.compile(f"[{LETTERS}]+|[0-9]|[!-&(-/:;=-@\\[-`{{-~]+")
-    PLAIN = re.compile(f"[{LETTERS}0-9!-&(-/:;=-@\\[-`{{-~]+")
+    # ---- fixed values: the pre-tokeniser's pattern over those letters, digits and signs; "<" may begin a special token ----
+    PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\\[-`{-~]+")
+    OTHER = re.compile(f"[^{LETTERS}!-;=-~ \\t-\\r]")
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.remember = self.tokenizer.model, remember
+        self.model = self.tokenizer.model
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shifted = [b for b in range(256) if b not in kept]
         #: the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(shifted)}
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        #: each id as little-endian 32-bit number
+        self.coded = [bytes(x) for x in np.arange(self.tokenizer.get_vocab_size(), dtype="<u4").view(np.uint8).reshape(-1, 4)]
+        self.pieces, self.words = Memo(self._piece, remember), Memo(self._word, remember // 8)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            coded = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
-            if len(self.pieces) >= self.remember:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.coded[t.id] for t in self.model.tokenize(raw)])
 
     def _word(self, word: str) -> bytes:
-        if self.PLAIN.fullmatch(word):
-            return b"".join(map(self._piece, self.PIECE.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.coded[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        words = text.split(" ") if text.isascii() and not re.search(r"[\t-\r]", text) else re.split(r"[ \t-\r]", text)
-        known, out = self.words, []
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                found = self._word(word) if word else b""
-                if len(known) >= self.remember:
-                    known.clear()
-                known[word] = found
-            out.append(found)
-        return b"".join(out)
+        if not self.OTHER.search(text):
+            return self._plain(text)
+        out, plain = [], []
+        for word in re.split("[ \t-\r]+", text):
+            if self.OTHER.search(word):
+                out += (self._plain(" ".join(plain)), self.words[word])
+                plain.clear()
+            else:
+                plain.append(word)
+        return b"".join([*out, self._plain(" ".join(plain))])
+
+    def forget(self) -> None:
+        for memo in (self.pieces, self.words):
+            memo.clear()
+            memo.old = {}
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a worker process; tasks clear what it remembers when they end."""
+    return WordEncoder(path)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,14 +113,15 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["_k1", "_k2", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
+    @thrifty
     def run(batches):
         import zlib
 
         import pyarrow as pa
 
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         final = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 3):
             rows, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column(3).cast(pa.string()).to_pylist()):
                 ids = encoder.encode(text or "") + final
@@ -106,6 +134,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
                     total.append(len(ids) // 4)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names)
+        encoder.forget()
 
     return keyed.mapInArrow(run, f"_k1 bigint, _k2 int, doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
