@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -14,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised code (one longer document is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Powers kept between calls (16 bytes each); longer texts compute theirs anew.
+KEPT_POWERS = 1 << 21
 
 _made: list[tuple[SparkSession, str]] = []
 _kept: list[tuple[SparkSession, str]] = []
@@ -53,9 +57,19 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(made: list | None = None) -> None:
-    """Delete the shared tables made so far; results that are not yet written must not depend on them."""
-    made = _made if made is None else made
+@contextlib.contextmanager
+def made_in(own: list):
+    """Shared tables made in this context are noted in a list of the caller's, who may release() it."""
+    global _made
+    before, _made = _made, own
+    try:
+        yield own
+    finally:
+        _made = before
+
+
+def release(made: list) -> None:
+    """Delete the shared tables of a list; results that are not yet written must not depend on them."""
     while made:
         spark, path = made.pop()
         try:
@@ -68,7 +82,22 @@ def release(made: list | None = None) -> None:
                 shutil.rmtree(local, ignore_errors=True)
 
 
-atexit.register(lambda: (release(), release(_kept)))
+atexit.register(lambda made=_made: (release(made), release(_kept)))
+
+
+def thrifty(run):
+    """A function of batches whose worker process gives freed memory back when a task ends: it may serve others for long."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # no glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def buckets(spark: SparkSession) -> int:
@@ -102,12 +131,13 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of an odd base modulo 2**64, and of its inverse."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, n + n // 8)
+        size = max(1 << 16, min(n + n // 8, KEPT_POWERS), n)
         inv = np.uint64(pow(int(base), -1, 1 << 64))
         up, down = np.full(size, base, np.uint64), np.full(size, inv, np.uint64)
         up[0] = down[0] = 1
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        _powers[int(base)] = have
+        if size <= KEPT_POWERS:
+            _powers[int(base)] = have
     return have[0][:n], have[1][:n]
 
 
@@ -218,7 +248,3 @@ def windowed_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def temp_dir() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Words, chunks, row_key, save, slices, utf8
+from .common import Words, chunks, row_key, save, slices, thrifty, utf8
 
 #: log2 of the Bloom filter's bits (4 MB) and its hashes a key.
 BLOOM_BITS, BLOOM_HASHES = 25, 4
@@ -46,6 +46,7 @@ def _hits(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
 def item_windows(items: DataFrame, window: int, shingle: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """A row per window of an item: item_id, words (space-joined), n words, k (shingle size), hashes (its shingles in order)."""
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 
@@ -75,6 +76,7 @@ def item_windows(items: DataFrame, window: int, shingle: int, id_col: str = "ite
 def bloom_filter(hashes: DataFrame) -> np.ndarray:
     """The filter of column h: or-ed in Spark by 64-bit word, at most 2**19 rows to the driver."""
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 
@@ -91,6 +93,7 @@ def bloom_filter(hashes: DataFrame) -> np.ndarray:
 def document_hits(docs: DataFrame, bloom, sizes: list[int], window: int) -> DataFrame:
     """A row per document: its keys, n_words, and the shingles the filter lets pass, each with the words around it."""
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 

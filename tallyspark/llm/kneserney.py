@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, Words, buckets, local_path, mix, save, shared_path, slices, utf8
+from .common import ODD, Words, buckets, local_path, mix, save, shared_path, slices, thrifty, utf8
 from .warc import open_shared
 
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
@@ -152,6 +152,7 @@ def frequent(train: DataFrame, n_buckets: int, text_col: str, hot: int = 256, sa
 def count_pairs(train: DataFrame, n: int, hot: np.ndarray, folder: str, text_col: str, hold: int = 1_500_000) -> DataFrame:
     """Write pair and ctx files; rows: counts of the files ('made'), hot words' sums ('hot'), packed counts by word ('word')."""
 
+    @thrifty
     def send(batches):
         held: list[tuple] = []
 
@@ -182,6 +183,7 @@ def count_pairs(train: DataFrame, n: int, hot: np.ndarray, folder: str, text_col
             flush()
             yield out()
 
+    @thrifty
     def settle(batches):
         held: dict[int, list] = {}
         for batch in batches:
@@ -220,6 +222,7 @@ def _together(parts: list):
 def count_words(counted: DataFrame, n: int, folder: str) -> DataFrame:
     """Write uni files; rows: kinds, tokens, continuations, and kinds with a continuation count of 1 to 4."""
 
+    @thrifty
     def settle(batches):
         held: dict[int, list] = {}
         for batch in batches:
@@ -347,6 +350,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, te
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 

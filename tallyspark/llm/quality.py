@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, save, slices, utf8
+from .common import Words, save, slices, thrifty, utf8
 
 STYLE = 14
 
@@ -80,6 +80,7 @@ class Classifier:
 def choose_lexicon(labelled: DataFrame, targets: list[str], lexicon: int) -> np.ndarray:
     """Hashes of the words whose presence tells most about a target, either way, by a two-proportion z score."""
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 
@@ -146,6 +147,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
     labelled = save(rows.select("doc_id", "text").join(drawn, "doc_id").select("text", *targets), "labelled")
     words = choose_lexicon(labelled, list(targets), lexicon)
 
+    @thrifty
     def features(batches):
         import pyarrow as pa
 
@@ -159,6 +161,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
     models = [Classifier(x[order], got[t].to_numpy(np.float64)[order]) if len(x) else None for t in targets]
     held = docs.sparkSession.sparkContext.broadcast((words, models))
 
+    @thrifty
     def score(batches):
         import pyarrow as pa
 

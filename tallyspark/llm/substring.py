@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, Words, buckets, mix, row_key, save, slices, utf8, windowed_min
+from .common import ODD, Words, buckets, mix, row_key, save, slices, thrifty, utf8, windowed_min
 
 HEAD = np.dtype([("anchor", "<u8"), ("k1", "<i8"), ("k2", "<i4"), ("start", "<u4"), ("n", "<u4")])
 MASK = np.uint64((1 << 48) - 2)  # of a window hash; the lowest bit says that it is known to repeat
@@ -123,6 +123,7 @@ def _batch(packed: list[tuple[int, bytes]], intervals: tuple[np.ndarray, ...] |
 def seeds(keyed: DataFrame, length: int, gram: int, n_buckets: int, chunk: int) -> DataFrame:
     """Packed stretches of windows by anchor, and the intervals that a chunk has settled itself."""
 
+    @thrifty
     def run(batches):
         held: list[Windows] = []
 
@@ -153,6 +154,7 @@ def seeds(keyed: DataFrame, length: int, gram: int, n_buckets: int, chunk: int)
 def extend(routed: DataFrame, length: int, n_buckets: int, limit: int, hot: int, last: bool) -> DataFrame:
     """Settle the buckets: intervals of the repeated windows, and what is dealt anew (none if `last`)."""
 
+    @thrifty
     def run(batches):
         held: dict[int, list[Windows]] = {}
         size: dict[int, int] = {}
@@ -220,6 +222,7 @@ def deduplicate_substrings(docs: DataFrame, length: int = 50, gram: int = 6, id_
     at = joined.columns.index(text_col)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "spans"]
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 

@@ -20,6 +20,8 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 SEP = "\x01"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,6 +41,7 @@ def host_key(host: Column) -> Column:
 def _sweep(rules):
     """One pass over sorted rows with a chunk of rules [(key, host, path, action)], sorted by key."""
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 

@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, shared_path
+from .common import local_path, shared_path, thrifty
 
 MAGIC = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
@@ -132,6 +132,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, sample_bytes:
     twice = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
     met = rows.join(twice.withColumn("met", F.lit(True)).hint("shuffle_hash"), "sha", "left").select("page_id", "url", "payload", "first", F.expr("met is not null and not (page_id <=> first)").alias("revisit"))
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 
@@ -188,6 +189,7 @@ def parse(data: bytes) -> dict:
 def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload: null for revisits) of every record."""
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 
