@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buckets, chunks, mix, save, slices, utf8
+from .common import LOWER, buckets, chunks, mix, save, slices, thrifty, utf8
 from .components import components, forest
 
 
@@ -42,11 +42,43 @@ def shingle_hashes(text: bytes, shingle: int) -> list[int]:
     return [digest(flat[s:e], 42) for s, e in zip(begins.tolist(), ends[shingle - 1 :].tolist())]
 
 
-def majority(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bits that more than half of each run of hashes have set."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits that more than half of each run of hashes (rows of words) have set; runs follow each other, none is empty.
+
+    Votes are counted for 64 bits at once: a plane holds one binary digit of every bit's count, and full adders turn
+    three words of a plane into one, with a carry to the next plane, until each run has one word a plane.
+    """
+    runs, digits = np.arange(len(sizes)), []
+    rows, counts = hashes, sizes
+    while len(rows):
+        carried = []
+        while (counts > 1).any():
+            # runs are filled up with zeros to groups of three
+            groups = -(-counts // 3)
+            full = np.zeros((3 * int(groups.sum()), rows.shape[1]), np.uint64)
+            full[np.arange(len(rows)) + np.repeat(3 * (np.cumsum(groups) - groups) - np.cumsum(counts) + counts, counts)] = rows
+            a, b, c = full[0::3], full[1::3], full[2::3]
+            odd = a ^ b
+            many = np.repeat(counts > 1, groups)
+            carried.append((np.repeat(runs, groups)[many], ((a & b) | (c & odd))[many]))
+            rows, counts = odd ^ c, groups
+        plane = np.zeros((len(sizes), hashes.shape[1]), np.uint64)
+        plane[counts == 1] = rows
+        digits.append(plane)
+        if not carried:
+            break
+        who = np.concatenate([x[0] for x in carried])
+        order = np.argsort(who, kind="stable")
+        rows, counts = np.concatenate([x[1] for x in carried])[order], np.bincount(who, minlength=len(sizes))
+    # count > size // 2, from the highest digit down
+    half = (sizes // 2).astype(np.uint64)
+    more, same = np.zeros((len(sizes), hashes.shape[1]), np.uint64), np.full((len(sizes), hashes.shape[1]), np.uint64(2**64 - 1))
+    for i in range(max(len(digits), int(half.max()).bit_length() if len(half) else 0) - 1, -1, -1):
+        bit = np.where((half >> np.uint64(i)) & np.uint64(1), np.uint64(2**64 - 1), np.uint64(0))[:, None]
+        digit = digits[i] if i < len(digits) else np.zeros_like(more)
+        more |= same & digit & ~bit
+        same &= ~(digit ^ bit)
+    return more
 
 
 def fingerprint_texts(texts: list[bytes], shingle: int) -> np.ndarray:
@@ -56,8 +88,7 @@ def fingerprint_texts(texts: list[bytes], shingle: int) -> np.ndarray:
 
     def flush():
         if hashes:
-            n = np.array(sizes)
-            out[at] = majority(np.array(hashes, "<u8"), np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            out[at] = majority(np.array(hashes, "<u8")[:, None], np.array(sizes))[:, 0]
         hashes.clear(), sizes.clear(), at.clear()
 
     for i, text in enumerate(texts):
@@ -76,6 +107,7 @@ def fingerprint_texts(texts: list[bytes], shingle: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp: the fingerprint as a signed 64-bit integer) for every row."""
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 
@@ -172,6 +204,7 @@ def packed_join(rows: DataFrame, columns: int, keys: list[tuple[int, list[int]]]
     """
     n, n_keys = buckets(rows.sparkSession), len(keys)
 
+    @thrifty
     def send(batches):
         import pyarrow as pa
 
@@ -194,6 +227,7 @@ def packed_join(rows: DataFrame, columns: int, keys: list[tuple[int, list[int]]]
                         at += c
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([counts[b].tobytes() + b"".join(parts[b]) + b"".join(marks[b]) for b in range(n)], pa.binary())], ["bucket", "payload"])
 
+    @thrifty
     def settle(batches):
         import pyarrow as pa
 

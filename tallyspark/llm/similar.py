@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, save, slices, utf8
+from .common import chunks, mix, save, slices, thrifty, utf8
 from .components import components
 from .simhash import halves, majority, packed_join, shingle_hashes
 
@@ -56,9 +56,9 @@ def wide_words(sets: list[np.ndarray]) -> np.ndarray:
     at = np.array([i for i, own in enumerate(sets) if len(own)], np.int64)
     if len(at):
         h, sizes = np.concatenate([sets[i] for i in at]), np.array([len(sets[i]) for i in at])
-        first = np.cumsum(sizes) - sizes
-        for w in range(WORDS):
-            out[at, w] = majority(mix(h + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64)), first, sizes)
+        for w in range(0, WORDS, 5):  # as many words at once as keep the arrays small
+            each = np.arange(w, min(w + 5, WORDS), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            out[at, w : w + 5] = majority(mix(h[:, None] + each), sizes)
     return out
 
 
@@ -66,6 +66,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int, few: int, id_col: str, text
     """(doc_id, row: a hash of id and text, fp: the name of its set, n: its shingles, wide: all words as bytes, less: the
     names of the set without each of its shingles, for sets of 2 to `few`) for every row."""
 
+    @thrifty
     def run(batches):
         import pyarrow as pa
 
@@ -148,23 +149,24 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     links = links.union(subsets.join(some.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
     met = save(components(links), "met")
 
-    members = some.select("fp", "row", "n").join(met.withColumnRenamed("node", "fp"), "fp")
+    members = some.select("fp", "row", "n", "wide").join(met.withColumnRenamed("node", "fp"), "fp")
     sizes = members.groupBy("root").agg(F.sum("n").alias("all"))
-    dealt = members.join(sizes, "root").select("row", "fp", "root", F.ceil(F.col("all") / tile).cast("int").alias("parts"))
+    dealt = members.join(sizes, "root").select("row", "fp", "wide", "root", F.ceil(F.col("all") / tile).cast("int").alias("parts"))
     # the texts of members are cut again: rows that repeat id and text once
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(dealt, "row").dropDuplicates(["row"]).select("root", "parts", "fp", "text")
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(dealt, "row").dropDuplicates(["row"]).select("root", "parts", "fp", "wide", "text")
 
+    @thrifty
     def cut(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, 3):
-            sets = shingle_sets(utf8(batch.column(3)), shingle)
-            wide = wide_words(sets)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["root", "parts", "fp", "wide", "own"])
+        for batch in slices(batches, 4):
+            sets = shingle_sets(utf8(batch.column(4)), shingle)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([x.tobytes() for x in sets], pa.binary())], ["root", "parts", "fp", "wide", "own"])
 
     tiles = texts.mapInArrow(cut, "root bigint, parts int, fp bigint, wide binary, own binary").withColumn("at", F.pmod(F.hash("fp"), F.col("parts")))
     tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("root", F.least("at", "other").alias("ti"), F.greatest("at", "other").alias("tj"), "fp", "wide", "own")
 
+    @thrifty
     def verify(batches):
         import pyarrow as pa
 
