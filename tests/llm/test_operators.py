@@ -283,16 +283,48 @@ def test_ann(spark):
     assert nearest(table.where("vec_id >= 1000 and vec_id < 1004"), F.lit(True)).count() == 0
 
 
-def test_multi_index_finds_all_within_radius():
+@pytest.mark.parametrize("turns", [1, 4])
+def test_multi_index_finds_all_within_radius(turns):
     from tallyspark.llm.ann import MultiIndex
 
-    codes = rng.integers(0, 2**64, 400, dtype=np.uint64)
-    for radius in (0, 5, 21, 28):
-        q, r = MultiIndex(codes, 64, radius).search(codes[:20])
-        want = {(i, j) for i in range(20) for j in range(400) if int(codes[i] ^ codes[j]).bit_count() <= radius}
+    codes = rng.integers(0, 2**64, (400, turns), dtype=np.uint64)
+    codes[200:] = codes[:200] ^ (np.uint64(1) << rng.integers(0, 64, (200, turns), dtype=np.uint64))
+    index = MultiIndex(codes)
+    assert index.retrieved(codes[0], 2) is not None  # probes, and does not read through the slice
+    for radius in (0, 3, 5, 21, 28, 100):
+        q, r = index.search(codes[:20], np.full(20, radius))
+        want = {(i, j) for i in range(20) for j in range(400) if sum(int(x).bit_count() for x in codes[i] ^ codes[j]) <= radius}
         assert len(q) == len(want) and set(zip(q.tolist(), r.tolist())) == want
 
 
+def test_ann_recall_over_all_queries(spark):
+    """The share of true neighbours found, and of rows that are reranked, over every query of a near-isotropic table."""
+    from pyspark.sql import functions as F
+
+    from tallyspark.llm.ann import nearest
+
+    x = np.random.default_rng(3).normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nearest(table, F.col("vec_id") % 20 == 0, k=20, slice_rows=2048, block_rows=100).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    score = x[::20] @ x.T
+    score[np.arange(300), np.arange(0, 6000, 20)] = -9
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) / 6000 >= 0.9
+
+
+def test_ann_rows_of_one_id(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.llm.ann import nearest
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [-1.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, k=9).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in got) == [(0, 1, 1, 0.6), (0, 1, 1, 0.8), (0, 2, 0, 0.0), (0, 2, 0, 0.0), (0, 3, 2, -1.0), (0, 3, 2, 0.0)]
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 100])
 def test_url_rules(spark, chunk):
     from tallyspark.llm.queries import URL_RULES
