@@ -13,7 +13,7 @@ from ..functions.text import fold, is_synthetic, item_folder_id, item_key_name,
 from ..plans.shared import written
 from ..sources.store import Store, first, is_folder_evidence
 from .hierarchy import folder_paths, folder_table
-from .windows import descending_block, lag_in_order, rank_in_order, running_sum
+from .windows import descending_block, in_order, running_sum
 
 # ---- fixed values: owners that are no file, and the lines of the reconciliation ----
 INDEX_OWNER = "<index metadata>"
@@ -27,19 +27,23 @@ DOC_BLOCK, TERM_BLOCK = 1 << 16, 3
 
 
 def posting_costs(store: Store) -> DataFrame:
-    """segment, field, field_no, term, doc, freq_bytes, prox_bytes of every posting, deleted documents' too."""
+    """segment, field, field_no, term, block, doc, rank, freq_bytes, prox_bytes of every posting, deleted documents' too.
+
+    Positions are costed where they are read, so that they are not shuffled; then postings are dealt once, by term and block.
+    """
     infos = store.field_infos.select("segment", "field", F.col("number").alias("field_no"), "has_freqs", "has_positions", "has_payloads")
-    block = F.floor(F.col("doc") / DOC_BLOCK)
-    rows = lag_in_order(store.postings, TERM, block, "doc", {"doc": "before"}).join(infos, ["segment", "field"])
-    delta = (F.col("doc") - F.coalesce("before", F.lit(0))).cast("bigint")
     prox = F.when(F.col("has_positions"), F.when(F.col("has_payloads"), B.positions(F.col("positions"), F.col("payloads"))).otherwise(B.positions(F.col("positions")))).otherwise(0)
-    return rows.select(*TERM, "field_no", "doc", B.posting(delta, F.col("freq"), F.col("has_freqs")).alias("freq_bytes"), prox.alias("prox_bytes"))
+    # a row a segment and field
+    narrow = store.postings.join(F.broadcast(infos), ["segment", "field"]).select(*TERM, "field_no", "doc", "freq", "has_freqs", prox.alias("prox_bytes"), F.floor(F.col("doc") / DOC_BLOCK).alias("block"))
+    rows = in_order(narrow, TERM, F.col("block"), ["doc"], "rank", {"doc": "before"})
+    delta = (F.col("doc") - F.coalesce("before", F.lit(0))).cast("bigint")
+    return rows.select(*TERM, "field_no", "block", "doc", "rank", B.posting(delta, F.col("freq"), F.col("has_freqs")).alias("freq_bytes"), "prox_bytes")
 
 
 def term_entries(postings: DataFrame) -> DataFrame:
     """segment, field, term, df, entry_bytes, skip_entries: the dictionary, terms in byte order within a field."""
     terms = postings.groupBy(*TERM, "field_no").agg(F.count(F.lit(1)).alias("df"), F.sum("freq_bytes").alias("frq"), F.sum("prox_bytes").alias("prx"))
-    rows = lag_in_order(terms, ["segment", "field"], F.left("term", F.lit(TERM_BLOCK)), "term", {"term": "prev", "frq": "prev_frq", "prx": "prev_prx"})
+    rows = in_order(terms, ["segment", "field"], F.left("term", F.lit(TERM_BLOCK)), ["term"], None, {"term": "prev", "frq": "prev_frq", "prx": "prev_prx"})
     prefix = B.shared_prefix(F.coalesce("prev", F.lit("")), F.col("term"))
     size = F.octet_length("term").cast("bigint")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
@@ -48,9 +52,12 @@ def term_entries(postings: DataFrame) -> DataFrame:
 
 
 def document_costs(postings: DataFrame, entries: DataFrame) -> DataFrame:
-    """segment, doc and the sums of its postings: posting, position, sole and shared bytes, share and count of shared terms."""
-    ranked = rank_in_order(postings, TERM, F.floor(F.col("doc") / DOC_BLOCK), ["doc"], "rank")
-    rows = ranked.join(entries, TERM)
+    """segment, doc and the sums of its postings: posting, position, sole and shared bytes, share and count of shared terms.
+
+    An entry goes to each block of its term, so a term that every document has is met in as many tasks as it has blocks.
+    """
+    blocks = postings.select(*TERM, "block").distinct().join(entries.select(*TERM, "df", "entry_bytes"), TERM)
+    rows = postings.join(blocks, [*TERM, "block"])
     sole = F.col("df") == 1
     entry = F.col("entry_bytes")
     total = lambda x, name: F.sum(x).cast("bigint").alias(name)
@@ -133,6 +140,11 @@ class CostReport:
         per = F.when(F.col("skip_entries") > 0, F.round(F.col("residual") / F.col("skip_entries"), 3)).otherwise(0.0)
         return row.select("sole_dictionary", "shared_dictionary", F.col("norm_fields").cast("bigint").alias("norm_fields"), (2 * (8 + F.col("norm_fields"))).cast("bigint").alias("flat_cost"), "skip_entries", per.alias("skip_bytes_per_entry"))
 
+    def overview(self) -> DataFrame:
+        """One row: what was computed of each kind, and the store's size, documents and fields with norms."""
+        sums = self.rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTERS[:4]))
+        return sums.join(self.totals).select(*COUNTERS[:4], "sole_dictionary", "shared_dictionary", "skip_entries", F.col("norm_fields").cast("bigint").alias("norm_fields"), "has_payloads", F.col("max_doc").cast("bigint").alias("max_doc"), "store_bytes")
+
     def explained(self) -> DataFrame:
         """The checks with what each residual is."""
         return self.checks.select("check", "actual", "computed", (F.col("actual") - F.col("computed")).alias("residual"), explain().alias("class"))
@@ -173,7 +185,8 @@ def cost(store: Store) -> CostReport:
     shared = F.col("df") > 1
     dictionary = entries.agg(F.coalesce(F.sum(F.when(~shared, F.col("entry_bytes"))), F.lit(0)).cast("bigint").alias("sole_dictionary"), F.coalesce(F.sum(F.when(shared, F.col("entry_bytes"))), F.lit(0)).cast("bigint").alias("shared_dictionary"), F.coalesce(F.sum("skip_entries"), F.lit(0)).cast("bigint").alias("skip_entries"))
     most = norms.agg(F.coalesce(F.max("norm_bytes"), F.lit(0)).alias("norm_fields"))
-    totals = dictionary.join(most)
+    payloads = store.field_infos.agg(F.coalesce(F.bool_or("has_payloads"), F.lit(False)).alias("has_payloads"))
+    totals = dictionary.join(most).join(payloads).join(store.counts().select("max_doc")).join(store.total_bytes())
     return CostReport(rows, reconcile(store, rows, totals), totals, {"postings": postings, "entries": entries, "documents": docs})
 
 

@@ -12,32 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def lag_in_order(df: DataFrame, group: list[str], block: Column, order: str, values: dict[str, str]) -> DataFrame:
-    """df with, for each (column: new name) of values, that column of the row before in its group; null for the first.
+def in_order(df: DataFrame, group: list[str], block: Column, order: list[str | Column], rank: str | None = None, lag: dict[str, str] | None = None) -> DataFrame:
+    """df with the row's rank (from 0) in its group and, for each (column: new name) of lag, that column of the row before.
 
-    block must not fall as order rises, and order must be unique in its group.
+    block must not fall as order rises. Rows are dealt once, by group and block; what the blocks before hold is carried
+    to the blocks of groups that have more than one, and to no others. With lag, order is one column, unique in its group.
     """
-    df = df.withColumn("_block", block)
-    inner = W.partitionBy(*group, "_block").orderBy(order)
-    last = df.groupBy(*group, "_block").agg(F.max_by(F.struct(*values), order).alias("_last"))
-    carried = last.withColumn("_carry", F.lag("_last").over(W.partitionBy(*group).orderBy("_block"))).drop("_last")
-    out = df.withColumn("_first", F.row_number().over(inner) == 1)
-    for column in values:
-        out = out.withColumn(f"_lag_{column}", F.lag(column).over(inner))
-    out = out.join(carried, [*group, "_block"])
-    for column, name in values.items():
-        out = out.withColumn(name, F.when(F.col("_first"), F.col(f"_carry.{column}")).otherwise(F.col(f"_lag_{column}")))
-    return out.drop("_block", "_first", "_carry", *(f"_lag_{c}" for c in values))
-
-
-def rank_in_order(df: DataFrame, group: list[str], block: Column, order: list[str], name: str) -> DataFrame:
-    """df with the row's rank (from 0) in its group; block must not fall as order rises."""
-    df = df.withColumn("_block", block)
-    sizes = df.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    base = sizes.select(*group, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    lag = lag or {}
     inner = W.partitionBy(*group, "_block").orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(inner) - 1).join(base, [*group, "_block"]).withColumn(name, F.col("_base") + F.col("_rank")).drop("_block", "_base", "_rank")
+    rows = df.withColumn("_block", block)
+    sums = [F.count(F.lit(1)).alias("_n")] + ([F.max_by(F.struct(*lag), order[0]).alias("_last")] if lag else [])
+    over = W.partitionBy(*group)
+    blocks = rows.groupBy(*group, "_block").agg(*sums).withColumn("_blocks", F.count(F.lit(1)).over(over)).where("_blocks > 1")
+    earlier = over.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")] + ([F.lag("_last").over(over.orderBy("_block")).alias("_carry")] if lag else [])
+    rows = rows.withColumn("_rank", F.row_number().over(inner) - 1)
+    for column in lag:
+        rows = rows.withColumn(f"_lag_{column}", F.lag(column).over(inner))
+    out = rows.join(blocks.select(*group, "_block", *carried), [*group, "_block"], "left")
+    for column, name in lag.items():
+        out = out.withColumn(name, F.when(F.col("_rank") == 0, F.col(f"_carry.{column}")).otherwise(F.col(f"_lag_{column}")))
+    if rank:
+        out = out.withColumn(rank, F.coalesce("_base", F.lit(0)) + F.col("_rank"))
+    return out.drop("_block", "_rank", "_base", *(["_carry"] if lag else []), *(f"_lag_{c}" for c in lag))
 
 
 def running_sum(df: DataFrame, block: Column, order: list[Column], value: str, name: str, rank: str) -> DataFrame:
@@ -52,7 +49,7 @@ def running_sum(df: DataFrame, block: Column, order: list[Column], value: str, n
 
 
 def descending_block(value: Column) -> Column:
-    """A block number that rises as value falls: the value's bit length, then its six next bits."""
+    """A block number that rises as value falls: the value's bit length, then its twelve next bits."""
     size = F.length(F.bin(F.greatest(value, F.lit(0))))
-    lead = F.call_function("shiftright", value, F.greatest(size - 7, F.lit(0)))
-    return -(size * 256 + lead)
+    lead = F.call_function("shiftright", value, F.greatest(size - 13, F.lit(0)))
+    return -(size * 16384 + lead)

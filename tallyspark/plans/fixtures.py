@@ -6,11 +6,15 @@ texts store: documents as items of an inverted index, with postings, folders by
 
 from __future__ import annotations
 
+import dataclasses
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cost import COUNTERS, CostReport, cost
-from ..operators.windows import rank_in_order
+from ..operators.windows import in_order
 from ..sources.store import Store
 from .shared import written
 
@@ -31,6 +35,24 @@ def one(e: str) -> str:
     return f"CASE WHEN ({e}) IS NOT NULL THEN array({e}) END"
 
 
+_stores: dict[tuple, tuple[SparkSession, Store]] = {}
+
+
+def once(make: Callable[[SparkSession, str], Store]) -> Callable[[SparkSession, str], Store]:
+    """The derived store, written as tables once a session and folder, as a store is before it is looked into."""
+
+    @functools.wraps(make)
+    def kept(spark: SparkSession, sf_dir: str) -> Store:
+        key = (make.__name__, id(spark), spark.sparkContext.applicationId, sf_dir)
+        if key not in _stores:
+            store = make(spark, sf_dir)
+            _stores[key] = spark, dataclasses.replace(store, docs=written(store.docs))
+        return dataclasses.replace(_stores[key][1])
+
+    return kept
+
+
+@once
 def orders_store(spark: SparkSession, sf_dir: str) -> Store:
     t = lambda n: table(spark, sf_dir, n)
     folder = lambda df, i, p, n, d: df.selectExpr("0 AS segment", f"{d} AS doc_id", "false AS deleted", _fields(("fldrid", one(i)), ("fldrpid", one(p)), ("fldrnm", one(n))))
@@ -65,6 +87,7 @@ INFOS = "segment int, field string, number int, is_indexed boolean, has_norms bo
 HEADER, DICTIONARY_HEADER, SKIP_BYTES = 4, 24, 3
 
 
+@once
 def texts_store(spark: SparkSession, sf_dir: str) -> Store:
     """Without files; see with_files."""
     d = table(spark, sf_dir, "documents").selectExpr("doc_id AS k", "text", "coalesce(lang, 'none') AS lang", "coalesce(source, 'none') AS source")
@@ -78,13 +101,13 @@ def texts_store(spark: SparkSession, sf_dir: str) -> Store:
     )
     metas = d.where("k % 4 = 1").selectExpr("cast(k % 3 AS int) AS segment", "2 * k + 1 AS doc_id", "k % 97 = 5 AS deleted", _fields(("mid", one(key)), ("idxfl", one("lower(hex(k % 6))"))))
     start = 1 << 40
-    langs = d.select("lang").distinct().selectExpr("0 AS segment", f"{start} + pmod(xxhash64(lang), 1000000) AS doc_id", "false AS deleted", _fields(("fldrid", one("concat('l-', lang)")), ("fldrpid", one("'t'")), ("fldrnm", one("lang"))))
+    langs = d.select("lang").distinct().selectExpr("0 AS segment", f"{start} + pmod(xxhash64(lang), 1000000) AS doc_id", "false AS deleted", _fields(("fldrid", one("concat('l-', lang)")), ("fldrpid", one("'t'")), ("fldrnm", one("lang")), ("modft", one("cast(132539328000000000 + 10000000 * ascii(lang) AS string)"))))
     sources = d.select("lang", "source").distinct().selectExpr("0 AS segment", f"{2 * start} + pmod(xxhash64(lang, source), 1000000) AS doc_id", "false AS deleted", _fields(("fldrid", one("concat('f-', lang, '-', source)")), ("fldrpid", one("concat('l-', lang)")), ("fldrnm", one("source"))))
     top = spark.range(1).selectExpr("0 AS segment", f"{3 * start} AS doc_id", "false AS deleted", _fields(("fldrid", one("'t'")), ("fldrpid", one("'root'")), ("fldrnm", one(r"'\\\\?\\T:'"))))
     index = spark.range(1).selectExpr("0 AS segment", f"{4 * start} AS doc_id", "false AS deleted", _fields(("idxv", one("'7'"))))
     docs = items.unionByName(metas).unionByName(langs).unionByName(sources).unionByName(top).unionByName(index)
     # numbers within the segment, in order of scan
-    numbers = written(rank_in_order(docs.select("segment", "doc_id"), ["segment"], F.expr("doc_id div 65536"), ["doc_id"], "doc").withColumn("doc", F.col("doc").cast("int")))
+    numbers = written(in_order(docs.select("segment", "doc_id"), ["segment"], F.expr("doc_id div 65536"), ["doc_id"], "doc").withColumn("doc", F.col("doc").cast("int")))
     docs = docs.join(numbers, ["segment", "doc_id"])
     numbers = numbers.where(f"doc_id < {start} and doc_id % 2 = 0").select("segment", "doc", F.expr("doc_id div 2 AS k"))
     rows = d.select("k", "text", "lang", "source").join(numbers, "k")
@@ -118,5 +141,6 @@ def texts_report(spark: SparkSession, sf_dir: str) -> CostReport:
     report.rows, report.totals = written(report.rows), written(report.totals)
     store.store_files = files_of(spark, report)
     report.checks = reconcile(store, report.rows, report.totals)
+    report.totals = report.totals.drop("store_bytes").join(store.total_bytes())
     report.extra["store"] = store
     return report

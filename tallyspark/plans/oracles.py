@@ -68,7 +68,7 @@ docs AS (
     [strlen('f-' || lang || '-' || source || ':doc-' || k), strlen('Doc-' || k || CASE WHEN k % 4 = 0 THEN '.md' ELSE '.txt' END), 18, 2]
       || CASE WHEN text IS NULL THEN [] ELSE [strlen(length(text)::VARCHAR), strlen(text)] END AS lens FROM d
   UNION ALL SELECT (k % 3)::INT, 2 * k + 1, k, k % 97 = 5, 'meta', 'T:\' || lang || '\' || source, 'f-' || lang || '-' || source, 'Doc-' || k || '.txt', 0, false, [strlen('f-' || lang || '-' || source || ':doc-' || k), 1] FROM d WHERE k % 4 = 1
-  UNION ALL SELECT 0, 1099511627776 + row_number() OVER (ORDER BY lang), NULL, false, 'folder', 'T:\' || lang, 'l-' || lang, '', 0, true, [strlen('l-' || lang), 1, strlen(lang)] FROM (SELECT DISTINCT lang FROM d)
+  UNION ALL SELECT 0, 1099511627776 + row_number() OVER (ORDER BY lang), NULL, false, 'folder', 'T:\' || lang, 'l-' || lang, '', 0, true, [strlen('l-' || lang), 1, strlen(lang), 18] FROM (SELECT DISTINCT lang FROM d)
   UNION ALL SELECT 0, 2199023255552 + row_number() OVER (ORDER BY lang, source), NULL, false, 'folder', 'T:\' || lang || '\' || source, 'f-' || lang || '-' || source, '', 0, true, [strlen('f-' || lang || '-' || source), strlen('l-' || lang), strlen(source)] FROM (SELECT DISTINCT lang, source FROM d)
   UNION ALL SELECT 0, 3298534883328, NULL, false, 'folder', 'T:', 't', '', 0, true, [1, 4, 6]
   UNION ALL SELECT 0, 4398046511104, NULL, false, 'index', '', '', '', 0, false, [1]
@@ -128,6 +128,41 @@ homes AS (
 )"""
 
 
+#: the treemap of the texts store: what stands where, sums over prefixes, ranks among siblings, keys of places
+TREEMAP = r"""
+things AS (
+  SELECT owner AS path, string_split(owner, '\') AS parts, place, file_size AS size, bytes AS physical,
+    CASE WHEN place = 'own' THEN (SELECT max(132539328000000000 + 10000000 * ascii(lang)) FROM d WHERE owner = 'T:\' || lang) ELSE 132539328000000000 + 10000000 * regexp_extract(owner, 'Doc-([0-9]+)', 1)::BIGINT END AS ticks
+  FROM homes WHERE place <> 'omitted'
+), weights AS (
+  SELECT *, unnest(range(1, len(parts) + CASE WHEN place = 'file' THEN 0 ELSE 1 END)) AS n FROM things
+), tops AS (
+  SELECT array_to_string(parts[1:n], '\') AS path, sum(size)::BIGINT AS size, sum(physical)::BIGINT AS physical, (count(*) FILTER (place <> 'empty')) AS files, (count(*) FILTER (place <> 'file')) - 1 AS folders FROM weights GROUP BY ALL
+), laid AS (
+  SELECT t.path, t.parts, t.parts[1:len(t.parts) - 1] AS parent, t.parts[len(t.parts)] AS name, CASE WHEN len(t.parts) = 1 THEN 0 WHEN t.place = 'empty' THEN 5 ELSE 6 END AS shape, s.size, s.physical,
+    CASE WHEN t.place = 'empty' THEN 0 ELSE s.files END AS files, CASE WHEN t.place = 'empty' THEN 0 ELSE s.folders END AS folders, '' AS attributes, t.ticks, CASE WHEN len(t.parts) = 1 THEN '0x00000002' ELSE '0x00000004' END AS kind
+  FROM things t JOIN tops s USING (path) WHERE t.place <> 'file'
+  UNION ALL SELECT path || '\<folder entry>', parts || ['<folder entry>'], parts, '<folder entry>', 3, size, physical, 0, 0, '', ticks, '0x00000008' FROM things WHERE place = 'own'
+  UNION ALL SELECT path, parts, parts[1:len(parts) - 1], parts[len(parts)], 4, size, physical, 0, 0, 'A', ticks, '0x00000008' FROM things WHERE place = 'file'
+), classed AS (
+  SELECT *, CASE WHEN shape = 0 THEN 0 WHEN len(parent) = 1 THEN CASE shape WHEN 6 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 4 END ELSE CASE shape WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 4 END END AS class FROM laid
+), places AS (
+  SELECT *, format('{:012X}', class * 1099511627776 + row_number() OVER (PARTITION BY parent, class ORDER BY physical DESC, name, size DESC, ticks) - 1) AS own_key FROM classed
+), walked AS (
+  SELECT path, own_key AS order_key, parts, shape FROM places WHERE shape = 0
+  UNION ALL SELECT p.path, w.order_key || '.' || p.own_key, p.parts, p.shape FROM places p JOIN walked w ON p.parent = w.parts AND w.shape IN (0, 6)
+), newest AS (SELECT max(ticks) AS newest FROM things WHERE place = 'own'),
+treemap AS (
+  SELECT '' AS order_key, 'Texts' AS name, sum(files)::BIGINT AS files, (sum(folders) + count(*))::BIGINT AS folders, sum(size)::BIGINT AS size, sum(physical)::BIGINT AS physical, '' AS attributes, any_value(newest) AS ticks, '0x10000001' AS kind FROM places, newest WHERE shape = 0
+  UNION ALL SELECT w.order_key, CASE WHEN p.shape = 0 THEN p.path || '\' ELSE p.path END, files, folders, size, physical, attributes, CASE WHEN p.shape = 0 THEN newest ELSE ticks END, kind FROM places p JOIN walked w USING (path), newest
+)"""
+
+
+def treemap() -> str:
+    """The rows of the texts store's treemap under the file's column names."""
+    return f"""WITH RECURSIVE {TEXTS}, {TREEMAP} SELECT order_key, name AS "Name", files AS "Files", folders AS "Folders", size AS "Logical Size", physical AS "Physical Size", attributes AS "Attributes", {stamp('ticks', 'T', False)} AS "Last Change", kind AS "WinDirStat Attributes", '0x0000000000000000' AS "Index" FROM treemap"""
+
+
 def orders(select: str) -> str:
     return f"WITH RECURSIVE {ORDERS} {select}"
 

@@ -20,6 +20,7 @@ from ..sources import settings as S
 from ..sources.store import Store, first
 from . import fixtures as fx
 from . import oracles as o
+from .shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,7 +187,7 @@ def skip_entries(spark, sf_dir):
 @query(o.texts("SELECT segment, doc::INT AS doc, posting_bytes, position_bytes, sole_term_bytes, shared_term_bytes, shared_term_count, shared_share FROM by_doc"))
 def shared_apportionment(spark, sf_dir):
     """What each document's postings and terms cost."""
-    postings = _postings(spark, sf_dir)
+    postings = written(_postings(spark, sf_dir))
     return C.document_costs(postings, C.term_entries(postings))
 
 
@@ -453,7 +454,7 @@ def trie_collisions(spark, sf_dir):
     return made.select("order_key", F.col("Name").alias("name"), F.col("Files").alias("files"), F.col("Folders").alias("folders"), F.col("Logical Size").alias("logical"), F.col("Physical Size").alias("physical"))
 
 
-@query()
+@query(o.treemap())
 def treemap_rows(spark, sf_dir):
     """All rows of a treemap, by order_key."""
     return M.of_tree(_tree(spark, sf_dir)[1], "Texts").emitted()

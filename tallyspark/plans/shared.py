@@ -9,30 +9,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset, as in tests, a folder of our own, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        local = tempfile.mkdtemp(prefix="tallyspark-")
-        _own.append(local)
-        found = f"file://{local}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
+        _made.append((spark, found))
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The table, computed once and read back; it outlives executors."""
+    """The table, computed once and read back; it outlives executors and goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
 def _remove() -> None:
-    for path in _own:
-        shutil.rmtree(path, ignore_errors=True)
+    while _made:
+        spark, path = _made.pop()
+        try:
+            sc = spark.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended
+            if path.startswith("file:"):
+                shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)

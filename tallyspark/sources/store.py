@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.bytemodel import stored_value, vint
 from ..functions.decode import hex_number
@@ -33,10 +34,15 @@ def kind(order: list[tuple[str, str]] = KIND_FIELDS) -> Column:
 
 
 def stored_text(text: Column, num: Column, binary: Column) -> Column:
-    """A stored value as text: a string, else a number, else bytes in hex."""
+    """A stored value as text, as a reader shows it: a string, else a number, else bytes in hex."""
     return F.coalesce(text, num.cast("string"), F.concat(F.lit("0x"), F.hex(binary)), F.lit(""))
 
 
+def stored_string(text: Column) -> Column:
+    """A stored value as the cost analysis takes it: a string; numbers and bytes are the empty text."""
+    return F.coalesce(text, F.lit(""))
+
+
 @dataclass
 class Store:
     """docs: segment, doc (number in the segment), doc_id (in order of scan), deleted, fields (map of arrays).
@@ -55,7 +61,8 @@ class Store:
 
     def to_parquet(self, path: str) -> None:
         for name in ("docs", "postings", "field_infos", "store_files"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+            if getattr(self, name) is not None:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
 
     def live(self) -> DataFrame:
         return self.docs.where(~F.col("deleted"))
@@ -86,10 +93,25 @@ class Store:
         total = F.aggregate("values", F.lit(0).cast("bigint"), lambda a, x: a + stored_value(number(x), x["n"]))
         return sized.select("segment", "doc", (vint(F.size("values")) + total + 8).alias("stored_bytes"))
 
+    def global_numbers(self) -> DataFrame:
+        """segment, doc, number: a document's number in the whole index, its segment's base and its own."""
+        sizes = self.docs.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+        before = W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)  # a row a segment
+        bases = sizes.select("segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        return self.docs.join(F.broadcast(bases), "segment").select("segment", "doc", (F.col("base") + F.col("doc")).alias("number"))
+
     def files(self) -> DataFrame:
-        """Listing in order of the name."""
+        """Listing in order of the name; nothing for a store that has none."""
+        if self.store_files is None:
+            return self.docs.sparkSession.createDataFrame([], "name string, length bigint")
         return self.store_files.select("name", "length").orderBy("name")
 
+    def total_bytes(self) -> DataFrame:
+        """store_bytes: of the counted files, each once."""
+        if self.store_files is None:
+            return self.docs.sparkSession.createDataFrame([(0,)], "store_bytes bigint")
+        return self.bytes_by_extension().agg(F.coalesce(F.sum("actual"), F.lit(0)).cast("bigint").alias("store_bytes"))
+
     def bytes_by_extension(self) -> DataFrame:
         """Each file once (names that differ in case are one), by its extension, of the counted ones."""
         name = F.lower("name")

@@ -109,11 +109,13 @@ def test_two_level_windows_equal_plain_ones(spark):
     from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
-    from tallyspark.operators.windows import descending_block, lag_in_order, rank_in_order, running_sum
+    from tallyspark.operators.windows import descending_block, in_order, running_sum
 
     df = spark.range(500).selectExpr("id % 3 AS g", "(id * 7919) % 1009 AS o", "id * id % 97 AS v")
     w = W.partitionBy("g").orderBy("o")
-    got = rank_in_order(lag_in_order(df, ["g"], F.expr("o div 50"), "o", {"v": "before"}), ["g"], F.expr("o div 40"), ["o"], "r")
+    got = in_order(df, ["g"], F.expr("o div 50"), ["o"], "r", {"v": "before"})
+    one = in_order(df, ["g"], F.lit(0), ["o"], "r", {"v": "before"})
+    assert {tuple(r) for r in one.select("g", "o", "v", "before", "r").collect()} == {tuple(r) for r in got.select("g", "o", "v", "before", "r").collect()}
     want = df.withColumn("before", F.lag("v").over(w)).withColumn("r", F.row_number().over(w) - 1)
     cols = ["g", "o", "v", "before", "r"]
     assert {tuple(r) for r in got.select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()}
