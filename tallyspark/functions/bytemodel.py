@@ -32,17 +32,20 @@ def position(delta: Column, has_payloads: Column, payload: Column, changed: Colu
 
 def positions(at: Column, payloads: Column | None = None) -> Column:
     """All positions of a posting (arrays in order): deltas begin at 0 and stop at a negative position."""
-    first = F.filter(F.sequence(F.lit(1), F.size(at)), lambda i: F.element_at(at, i) < 0)
-    length = F.coalesce(F.array_min(first) - 1, F.size(at))
-    steps = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>"))
-    before = lambda a, i, start: F.when(i > 1, F.get(a, i - 2)).otherwise(F.lit(start))
-    delta = lambda i: (F.element_at(at, i) - before(at, i, 0)).cast("bigint")
-    if payloads is None:
-        each = F.transform(steps, lambda i: vint(delta(i)))
-    else:
-        size = lambda i: F.element_at(payloads, i).cast("bigint")
-        each = F.transform(steps, lambda i: position(delta(i), F.lit(True), size(i), size(i) != before(payloads, i, -1)))
-    return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    zero = F.lit(0).cast("bigint")
+    total = lambda each: F.aggregate(each, zero, lambda a, x: a + x)
+    negative = F.filter(F.sequence(F.lit(1), F.size(at)), lambda i: F.element_at(at, i) < 0)
+    counted = F.when(F.array_min(at) >= 0, at).otherwise(F.slice(at, F.lit(1), F.coalesce(F.array_min(negative) - 1, F.size(at))))
+    before = lambda a, i, start: F.when(i > 0, F.get(a, i - 1)).otherwise(F.lit(start))
+    delta = lambda x, i: (x - before(at, i, 0)).cast("bigint")
+    if payloads is not None:
+        size = lambda i: F.get(payloads, i).cast("bigint")
+        each = F.transform(counted, lambda x, i: position(delta(x, i), F.lit(True), size(i), size(i) != before(payloads, i, -1)))
+        return F.when(F.size(at) > 0, total(each)).otherwise(zero)
+    # most postings have one position, which needs no array
+    only = F.get(at, F.lit(0)).cast("bigint")
+    one = F.when(only >= 0, vint(only)).otherwise(zero)
+    return F.when(F.size(at) == 1, one).when(F.size(at) > 1, total(F.transform(counted, lambda x, i: vint(delta(x, i))))).otherwise(zero)
 
 
 def stored_value(field_no: Column, length: Column) -> Column:
@@ -67,10 +70,10 @@ def skip_entries(df: Column) -> Column:
 
 def shared_prefix(a: Column, b: Column) -> Column:
     """Common leading bytes of two texts."""
-    x, y = F.hex(F.encode(a, "UTF-8")), F.hex(F.encode(b, "UTF-8"))
-    n = F.least(F.octet_length(a), F.octet_length(b))
-    differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substr(x, i * 2 - 1, F.lit(2)) != F.substr(y, i * 2 - 1, F.lit(2)))
-    return F.when(F.coalesce(n, F.lit(0)) == 0, 0).otherwise(F.coalesce(F.array_min(differ) - 1, n)).cast("bigint")
+    # a byte a character, and between the two a character that is no byte
+    raw = lambda x: F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+    both = F.concat(raw(a), F.lit("\u0100"), raw(b))
+    return F.coalesce(F.length(F.regexp_extract(both, "(?s)^([^\u0100]*)[^\u0100]*+\u0100\\1", 1)), F.lit(0)).cast("bigint")
 
 
 def apportion(total: Column, n: Column, rank: Column) -> Column:

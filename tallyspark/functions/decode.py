@@ -54,23 +54,15 @@ def idiv(a: Column, b) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("bigint"))
 
 
-def trimmed(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^\s+|\s+$", "")
-
 
 def decimal_number(raw: Column) -> Column:
-    text = trimmed(raw)
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    return F.regexp_extract(raw, r"^\s*([+-]?[0-9]+)\s*$", 1).try_cast("bigint")
 
 
 def hex_number(raw: Column) -> Column:
-    """Up to 16 digits, as a signed 64-bit number; an 0x prefix is allowed."""
-    digits = F.regexp_replace(trimmed(raw), r"^0[xX]", "")
-    short = F.regexp_replace(digits, r"^0+(?=.)", "")
-    wide = F.conv(short, 16, 10).cast("decimal(20,0)")
-    wrap = F.lit("18446744073709551616").cast("decimal(20,0)")
-    signed = F.when(wide >= F.lit("9223372036854775808").cast("decimal(20,0)"), (wide - wrap).cast("decimal(20,0)")).otherwise(wide)
-    return F.when(digits.rlike(r"^[0-9a-fA-F]+$") & (F.length(short) <= 16), signed.cast("bigint"))
+    """Up to 16 digits after leading zeros, as a signed 64-bit number; an 0x prefix is allowed."""
+    digits = F.regexp_extract(raw, r"^\s*(?:0[xX])?0*([0-9a-fA-F]{1,16})\s*$", 1)
+    return F.conv(F.nullif(digits, F.lit("")), 16, -10).try_cast("bigint")
 
 
 def number(raw: Column, encoding: str | Column) -> Column:
@@ -82,7 +74,11 @@ def number(raw: Column, encoding: str | Column) -> Column:
 
 def ticks(raw: Column, encoding: str = "ticks") -> Column:
     """100 ns ticks since 1601 in UTC, null outside the range of dates."""
-    n = number(raw, "hex" if encoding == "hexticks" else "decimal")
+    return dated(number(raw, "hex" if encoding == "hexticks" else "decimal"))
+
+
+def dated(n: Column) -> Column:
+    """Ticks that are a date; null for others."""
     return F.when((n > 0) & (n <= LAST_TICK), n)
 
 

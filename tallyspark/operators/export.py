@@ -36,31 +36,36 @@ def export(store: Store, include_folders: bool = False, raw: bool = False, multi
     if not include_folders:
         rows = rows.where(~F.col("is_folder"))
     meta = lambda f: F.get(F.col("meta.fields")[f], F.lit(0))
-    name = display_name(first("name"), F.col("item_id"))
-    flags = D.hex_number(meta("idxfl"))
+    # the fields leave their maps and become numbers in one projection; what is used often is then there once
+    raws = [raw_value(F.col("fields")[f], F.col("meta.fields")[f], multi_value_sep).alias(f"raw_{f}") for f in (raw_fields(store) if raw else ())]
+    numbers = {
+        "_size": D.decimal_number(first("sizenr")), "_modified": D.decimal_number(first("modft")), "_created": D.decimal_number(first("createft")), "_indexed": D.decimal_number(meta("idxdt")),
+        "_flags": D.hex_number(meta("idxfl")), "_terms": D.hex_number(meta("idxtrm")), "_mask": D.hex_number(first("attrx")), "_type": D.decimal_number(first("itemtype")),
+    }
+    rows = rows.select("folder", display_name(first("name"), F.col("item_id")).alias("_name"), "is_folder", "folder_id", "item_id", "doc_id", F.col("meta.doc_id").alias("_meta"), *(v.alias(c) for c, v in numbers.items()), *raws)
+    rows = rows.withColumns({c: D.dated(F.col(c)) for c in ("_modified", "_created", "_indexed")})
     file_only = lambda x: F.when(~F.col("is_folder"), x)
     values = [
-        join_path(F.col("folder"), name),
+        join_path(F.col("folder"), F.col("_name")),
         F.col("folder"),
-        name,
-        F.coalesce(file_only(extension(name)), F.lit("")),
+        F.col("_name"),
+        F.coalesce(file_only(extension(F.col("_name"))), F.lit("")),
         F.when(F.col("is_folder"), "Y").otherwise("N"),
-        file_only(D.decimal_number(first("sizenr"))),
-        D.timestamp_export(D.ticks(first("modft"))),
-        D.timestamp_export(D.ticks(first("createft"))),
-        D.timestamp_export(D.ticks(meta("idxdt"))),
-        D.content_indexed(flags),
-        D.other_flag_bits(flags),
-        D.hex_number(meta("idxtrm")),
-        D.attribute_names(D.hex_number(first("attrx"))),
-        D.decimal_number(first("itemtype")),
+        file_only(F.col("_size")),
+        D.timestamp_export(F.col("_modified")),
+        D.timestamp_export(F.col("_created")),
+        D.timestamp_export(F.col("_indexed")),
+        D.content_indexed(F.col("_flags")),
+        D.other_flag_bits(F.col("_flags")),
+        F.col("_terms"),
+        D.attribute_names(F.col("_mask")),
+        F.col("_type"),
         F.col("folder_id"),
         F.col("item_id"),
         F.col("doc_id"),
-        F.col("meta.doc_id"),
+        F.col("_meta"),
     ]
-    more = [raw_value(F.col("fields")[f], F.col("meta.fields")[f], multi_value_sep).alias(f"raw_{f}") for f in (raw_fields(store) if raw else ())]
-    return rows.select(*(v.alias(c) for v, c in zip(values, COLUMNS)), *more)
+    return rows.select(*(v.alias(c) for v, c in zip(values, COLUMNS)), *(c for c in rows.columns if c.startswith("raw_")))
 
 
 def export_counts(store: Store, include_folders: bool = False) -> DataFrame:
