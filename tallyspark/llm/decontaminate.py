@@ -5,7 +5,7 @@ that holds the window holds its rarest shingle, so that one (the necessary prefi
 Length and positional bounds drop candidates whose window would begin before or end after the words around the
 shingle, and the words themselves are then compared.
 
-The text is read once. A Bloom filter of fixed size (so a proven bound, whatever the number of items) decides
+The text is read once. A Bloom filter sized by the number of shingles, within a proven bound, decides
 which shingles of a document leave the scan; all later steps are equality joins and combinable aggregates.
 
 Nulls and empty texts have no words: such documents are clean, such items have no window. Repeated document rows
@@ -21,22 +21,22 @@ from pyspark.sql import Window as W
 
 from .common import Words, chunks, row_key, save, slices, thrifty, utf8
 
-#: log2 of the Bloom filter's bits (4 MB) and its hashes a key.
-BLOOM_BITS, BLOOM_HASHES = 25, 4
+#: log2 of the Bloom filter's bits, at least and at most (16 MB), and its hashes a key.
+BLOOM_LEAST, BLOOM_MOST, BLOOM_HASHES = 20, 27, 4
 
 
-def _positions(h: np.ndarray) -> np.ndarray:
+def _positions(h: np.ndarray, bits: int) -> np.ndarray:
     """Bloom bit positions of some hashes, one row a hash function."""
     step = (h >> np.uint64(33)) | np.uint64(1)
-    return np.stack([((h + step * np.uint64(i)) & np.uint64((1 << BLOOM_BITS) - 1)) for i in range(BLOOM_HASHES)])
+    return np.stack([((h + step * np.uint64(i)) & np.uint64((1 << bits) - 1)) for i in range(BLOOM_HASHES)])
 
 
 def _hits(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Indices of the hashes that the filter lets pass."""
-    at = np.arange(len(h))
+    at, mask = np.arange(len(h)), np.uint64(64 * len(bloom) - 1)
     for i in range(BLOOM_HASHES):
         step = (h >> np.uint64(33)) | np.uint64(1)
-        p = (h + step * np.uint64(i)) & np.uint64((1 << BLOOM_BITS) - 1)
+        p = (h + step * np.uint64(i)) & mask
         ok = (bloom[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
         keep = np.flatnonzero(ok)
         at, h = at[keep], h[keep]
@@ -74,18 +74,20 @@ def item_windows(items: DataFrame, window: int, shingle: int, id_col: str = "ite
 
 
 def bloom_filter(hashes: DataFrame) -> np.ndarray:
-    """The filter of column h: or-ed in Spark by 64-bit word, at most 2**19 rows to the driver."""
+    """The filter of column h, of 16 bits a hash up to 2**BLOOM_MOST: or-ed in Spark by 64-bit word, so at most
+    2**(BLOOM_MOST - 6) rows come to the driver. With more hashes than fit, more shingles pass; results stay exact."""
+    bits = min(BLOOM_MOST, max(BLOOM_LEAST, (16 * hashes.count()).bit_length()))
 
     @thrifty
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            p = _positions(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)).ravel()
+            p = _positions(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits).ravel()
             yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
     words = hashes.select("h").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bloom = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+    bloom = np.zeros(1 << (bits - 6), np.uint64)
     bloom[words["word"].to_numpy()] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return bloom
 

@@ -345,8 +345,9 @@ def perplexity(score: float, n: int) -> float:
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
-    keep = docs.columns if keep is None else keep
+    """The columns `keep` of docs with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities). A kept
+    column of such a name gives way."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"n_tokens", "n_known", "train_tokens", "base_score", "score", "_text"}]
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -212,14 +212,18 @@ def repeats(docs: DataFrame, length: int, gram: int = 6, chunk: int = 300_000, l
 
 
 def deduplicate_substrings(docs: DataFrame, length: int = 50, gram: int = 6, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
-    """All columns of docs, with n_words, n_removed and kept: the text without its repeated windows of `length` words."""
-    clash = {"_k1", "_k2", "n_words", "n_removed", "kept", "spans"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)}")
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    spans = repeats(keyed.select("_k1", "_k2", F.col(text_col).alias("text")), length, gram, **sizes)
+    """All columns of docs, with n_words, n_removed and kept: the text without its repeated windows of `length` words.
+
+    A column of docs that has the name of one of these gives way; any other name passes through.
+    """
+    names = docs.columns
+    # columns are known by their place, so that no name meets one used here
+    held = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    own_id, own_text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
+    keyed = held.select("*", *row_key(own_id, own_text))
+    spans = repeats(keyed.select("_k1", "_k2", F.col(own_text).alias("text")), length, gram, **sizes)
     joined = keyed.join(spans.hint("shuffle_hash"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    at = joined.columns.index(text_col)
+    at = joined.columns.index(own_text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "spans"]
 
     @thrifty
@@ -244,4 +248,6 @@ def deduplicate_substrings(docs: DataFrame, length: int = 50, gram: int = 6, id_
             names = [f for f in batch.schema.names if f != "spans"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, ", ".join([*fields, "n_words bigint", "n_removed bigint", "kept string"]))
+    out = joined.mapInArrow(run, ", ".join([*fields, "n_words bigint", "n_removed bigint", "kept string"]))
+    made = ["n_words", "n_removed", "kept"]
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in made), *made)

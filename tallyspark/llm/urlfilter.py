@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import thrifty
 
-SEP = "\x01"
+SEP, ESCAPE = "\x01", "\x02"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,7 +35,9 @@ def url_path(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, "[.]")), SEP), F.lit(SEP))
+    """The labels in reverse, each ended by SEP; a host that holds SEP itself has it escaped, so no label looks like two."""
+    plain = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(SEP), F.lit(ESCAPE + "a"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, "[.]")), SEP), F.lit(SEP))
 
 
 def _sweep(rules):

@@ -148,8 +148,11 @@ def test_substrings(docs, empty, sizes):
     assert set(plain.columns) <= set(got.columns)
     assert sorted((r["doc_id"] is None, r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == removed(pairs(docs), 35)
     assert deduplicate_substrings(empty.select("doc_id", "text"), length=35).count() == 0
-    with pytest.raises(ValueError):
-        deduplicate_substrings(docs, length=35)
+    # a column of a result's name gives way, all others pass through
+    clash = docs.withColumnsRenamed({"spans": "_k1", "payload": "kept"}).selectExpr("*", "7 AS n_words", "8 AS `_c0`")
+    out = deduplicate_substrings(clash, length=35)
+    assert out.columns == ["doc_id", "text", "_k1", "_c0", "n_words", "n_removed", "kept"]
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect()) == removed(pairs(docs), 35)
 
 
 def test_kneser_ney(spark, docs, empty):
@@ -330,7 +333,7 @@ def test_url_rules(spark, chunk):
     from tallyspark.llm.queries import URL_RULES
     from tallyspark.llm.urlfilter import filter_urls
 
-    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/x?q#f", "https://www.example.com/en/", "http://badexample.com/en/", "http://a.b.net/es/1", "http://net/fr/", "http://x.org#/en/", "http://example.com", "http://m.example.com/en/://net/es/", "http://com/", "http://.com/x"]
+    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/x?q#f", "https://www.example.com/en/", "http://badexample.com/en/", "http://a.b.net/es/1", "http://net/fr/", "http://x.org#/en/", "http://example.com", "http://m.example.com/en/://net/es/", "http://com/", "http://.com/x", "http://com\x01x/", "http://a\x02.com/y", "http://\x01.example.com/en/"]
     table = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, urls[3]])], "page_id bigint, url string")
 
     def judge(u):
@@ -442,6 +445,59 @@ def test_quality(spark, docs, empty):
     assert classify(empty, tags, F.col("spans"), F.col("spans")).count() == 0
 
 
+def test_quality_posteriors_equal_brute_force(spark):
+    """Shrinkage of paths to their host and of hosts to the whole, with strengths by the method of moments."""
+    from tallyspark.llm.quality import posteriors, strength
+
+    own = np.random.default_rng(8)
+    rows = [(f"h{h}" if h else None, f"p{own.integers(3)}", int(own.integers(2)) if own.random() < 0.3 else None, float(own.random() * (h + 1) / 5)) for h in range(4) for _ in range(3 + 9 * h)]
+    got = posteriors(spark.createDataFrame(rows, "host string, path string, quality_label int, quality_p double"), "quality")
+    evidence = [float(label) if label is not None else p for _, _, label, p in rows]
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for (host, path, _, _), e in zip(rows, evidence):
+        paths[host, path].append(e)
+        hosts[host].append(e)
+    mean = (sum(evidence) + 0.5) / (len(evidence) + 1)
+
+    def moments(groups):  # (n, rate, mean)
+        groups = [g for g in groups if g[0] > 1]
+        n = sum(g[0] for g in groups)
+        between = max(0.0, (sum(k * (r - m) ** 2 for k, r, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / n)
+        return min(1e4, max(1.0, sum(k * m * (1 - m) for k, _, m in groups) / n / between - 1)) if between else 1e4
+
+    k_host = moments([(len(v), sum(v) / len(v), mean) for v in hosts.values()])
+    host_mean = {h: (sum(v) + k_host * mean) / (len(v) + k_host) for h, v in hosts.items()}
+    k_path = moments([(len(v), sum(v) / len(v), host_mean[h]) for (h, _), v in paths.items()])
+    found = {(r["_host"], r["_path"]): r for r in got.collect()}
+    assert set(found) == set(paths)
+    for key, v in paths.items():
+        r = found[key]
+        assert r["quality_n"] == len(v) and math.isclose(r["quality_s"], sum(v)) and math.isclose(r["quality_prior"], host_mean[key[0]])
+        assert math.isclose(r["quality_k"], k_path) and math.isclose(r["quality_mean"], mean)
+    alike = spark.createDataFrame([(5, 2.5), (5, 2.5)], "n int, s double")
+    from pyspark.sql import functions as F
+
+    assert strength(alike, F.lit(0.5)) == 1e4 and strength(alike.limit(0), F.lit(0.5)) == 1e4
+
+
+def test_one_very_long_text(spark):
+    """A document of 4 MB beside short ones, through the operators that read whole texts."""
+    from tallyspark.llm.decontaminate import decontaminate
+    from tallyspark.llm.langid import identify, train
+    from tallyspark.llm.simhash import near_duplicates
+    from tallyspark.llm.substring import deduplicate_substrings
+
+    words = [f"w{i}" for i in np.random.default_rng(4).integers(0, 50_000, 600_000)]
+    long = " ".join([*words, *SHARED.split()])
+    table = spark.createDataFrame([(1, long, "a"), (2, SHARED, "b"), (3, long, "a")], "doc_id bigint, text string, lang string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(table, shingle=4).collect()} == {1: 1, 2: 2, 3: 1}
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in deduplicate_substrings(table.where("doc_id < 3"), length=35).collect()}
+    assert cut == {1: (600_060, 60), 2: (60, 60)}
+    hit = {r["doc_id"]: r["n_hit"] for r in decontaminate(table, spark.createDataFrame([(1, SHARED)], "item_id bigint, text string"))[0].collect()}
+    assert hit == {1: 60, 2: 60, 3: 60}
+    assert {r["doc_id"]: r["lang_pred"] for r in identify(table, train(table), ["doc_id"]).collect()} == {1: "a", 2: "b", 3: "a"}
+
+
 def test_components(spark):
     from tallyspark.llm.components import components
 
