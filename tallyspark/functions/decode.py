@@ -54,7 +54,6 @@ def idiv(a: Column, b) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("bigint"))
 
 
-
 def decimal_number(raw: Column) -> Column:
     return F.regexp_extract(raw, r"^\s*([+-]?[0-9]+)\s*$", 1).try_cast("bigint")
 
