@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
 from ..functions.text import csv_line, display_name, extension, item_folder_id, join_path, raw_value
+from ..sources.settings import delimiter as option_delimiter
 from ..sources.store import Store, first
 from .hierarchy import folder_paths, folder_table
 
@@ -81,15 +84,30 @@ def csv_text(df: DataFrame, delimiter: str = ",") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", bom: bool = True, order=None) -> None:
-    """One part file with a header and CRLF line ends; rows in `order`, if given.
+    """The named file, with a header and CRLF line ends; rows in `order`, if given.
 
     Spark sorts in parallel; only the finished lines pass through the one writing task.
     """
+    delimiter = option_delimiter(delimiter)
     rows = df.orderBy(*order) if order else df
     lines = csv_text(rows, delimiter)
     head = ("\ufeff" if bom else "") + delimiter.join(df.columns)
-
-    headed(lines, head).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    write_file(headed(lines, head), path)
+
+
+def write_file(lines: DataFrame, path: str) -> None:
+    """The lines (of one partition) as the named file, in place of an older one; its folder is made."""
+    sc = lines.sparkSession.sparkContext
+    parts = f"{path}.{uuid.uuid4().hex}"
+    lines.write.option("lineSep", "\r\n").text(parts)
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    target, folder = hadoop.Path(path), hadoop.Path(parts)
+    system = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    system.delete(target, True)
+    if not system.rename(part, target):
+        raise OSError(f"cannot write {path}")
+    system.delete(folder, True)
 
 
 def headed(lines: DataFrame, head: str) -> DataFrame:

@@ -119,6 +119,15 @@ class CostTree:
     def cycles(self) -> DataFrame:
         return self.nodes.where(F.col("path").startswith(CYCLE))
 
+    def counts(self) -> DataFrame:
+        """merged (ids that share a node with another), grafted (parentless nodes hung below a deeper path)."""
+        return self.nodes.agg(F.coalesce(F.sum("aliases"), F.lit(0)).cast("bigint").alias("merged"), F.count_if("grafted").alias("grafted"))
+
+    def direct_files(self) -> DataFrame:
+        """folder, bytes: of the files that lie in a folder itself."""
+        direct = self.placed.where("place = 'file'").groupBy("node_id").agg(F.sum("apportioned_bytes").cast("bigint").alias("bytes"))
+        return self.nodes.join(direct, "node_id").select(F.col("path").alias("folder"), "bytes")
+
     def rank(self, n: int = 15, depth: int = 0) -> DataFrame:
         """The costliest folders; down to a depth, if that is above 0."""
         rows = self.nodes.where(F.col("depth") <= depth) if depth > 0 else self.nodes

@@ -14,10 +14,11 @@ from ..operators import cost as C
 from ..operators import export as X
 from ..operators import hierarchy as H
 from ..operators import profile as P
+from ..operators import report as L
 from ..operators import treemap as M
 from ..operators import validate as V
 from ..sources import settings as S
-from ..sources.store import Store, first
+from ..sources.store import Store, first, stored_string, stored_text
 from . import fixtures as fx
 from . import oracles as o
 from .shared import written
@@ -239,6 +240,45 @@ def pareto_90(spark, sf_dir):
     return fx.texts_report(spark, sf_dir).pareto().withColumn("percent", F.col("percent").cast("double"))
 
 
+@query(o.texts("SELECT stored AS stored_bytes, norms AS norm_bytes, postings AS posting_bytes, positions AS position_bytes, sole AS sole_dictionary, shared AS shared_dictionary, skips AS skip_entries, 1::BIGINT AS norm_fields, false AS has_payloads, (SELECT count(*) FROM numbered) AS max_doc, (SELECT sum(actual) FROM checks)::BIGINT AS store_bytes FROM totals"))
+def cost_overview(spark, sf_dir):
+    """A5: what was computed of each kind, over the whole store."""
+    return fx.texts_report(spark, sf_dir).overview()
+
+
+@query(o.texts("SELECT segment, doc::INT AS doc, (doc + (SELECT count(*) FROM numbered m WHERE m.segment < n.segment))::BIGINT AS number FROM numbered n"))
+def global_numbers(spark, sf_dir):
+    """A document's number in the whole index."""
+    return fx.texts_store(spark, sf_dir).global_numbers()
+
+
+@query(o.texts("""SELECT 1::BIGINT AS line, '     exclusive    positions   postings   stored sole_terms     shared file' AS text UNION ALL
+SELECT rn + 1, '  ' || lpad(format('{:,}', exclusive_bytes), 12, ' ') || ' ' || lpad(format('{:,}', position_bytes), 12, ' ') || ' ' || lpad(format('{:,}', posting_bytes), 10, ' ') || ' ' || lpad(format('{:,}', stored_bytes), 8, ' ') || ' ' || lpad(format('{:,}', sole_term_bytes), 10, ' ') || ' ' || lpad(format('{:,}', shared_term_bytes), 10, ' ') || ' ' || owner
+FROM (SELECT *, row_number() OVER (ORDER BY exclusive_bytes DESC, owner) AS rn FROM files WHERE rn <= 10)"""))
+def report_top_files(spark, sf_dir):
+    """K5: the costliest files as lines of text."""
+    return L.top_files(fx.texts_report(spark, sf_dir), 10)
+
+
+@query(o.texts("""SELECT 1::BIGINT AS line, '  check                      actual       computed     residual ' AS text UNION ALL
+SELECT row_number() OVER (ORDER BY last, "check") + 1, '  ' || rpad("check", 18, ' ') || ' ' || lpad(format('{:,}', actual), 14, ' ') || ' ' || lpad(format('{:,}', computed), 14, ' ') || ' ' || lpad(format('{:,}', actual - computed), 12, ' ') || ' ' ||
+  CASE WHEN last = 1 THEN printf('%.1f%%', computed * 100.0 / actual) || ' attributed' WHEN actual = computed THEN 'exact' WHEN computed = 0 THEN 'index-wide' ELSE printf('%+.2f%%', (actual - computed) * 100.0 / actual) || CASE WHEN "check"[1:4] = '.frq' THEN ' skip lists' WHEN "check"[1:4] = '.tis' THEN ' header and skip pointers' ELSE ' segment headers' END END
+FROM (SELECT *, 0 AS last FROM checks UNION ALL SELECT 'TOTAL', sum(actual)::BIGINT, sum(computed)::BIGINT, 1 FROM checks)"""))
+def report_reconciliation(spark, sf_dir):
+    """K5: the reconciliation as lines of text."""
+    return L.reconciliation(fx.texts_report(spark, sf_dir))
+
+
+VALUES = [(1, "text", 5, b"\x01", "text", "text"), (2, None, 5, b"\x01", "5", ""), (3, None, None, b"\x01\xff", "0x01FF", ""), (4, None, None, None, "", ""), (5, "", 7, None, "", "")]
+
+
+@query(o.golden("id, shown, costed", [(i, x, y) for i, _, _, _, x, y in VALUES]))
+def stored_values(spark, sf_dir):
+    """A stored value as a reader shows it and as the cost analysis takes it."""
+    df = rows(spark, "id int, text string, num bigint, bin binary", [x[:4] for x in VALUES])
+    return df.select("id", stored_text(F.col("text"), F.col("num"), F.col("bin")).alias("shown"), stored_string(F.col("text")).alias("costed"))
+
+
 # ---- export ------------------------------------------------------------------------------------------------------
 
 
@@ -292,6 +332,19 @@ def info_counts(spark, sf_dir):
     return fx.orders_store(spark, sf_dir).counts()
 
 
+_LISTED = [("_0.prx", 10), ("segments.gen", 20)]
+
+
+@query(o.orders("SELECT 'documents' AS section, unnest(['live', 'deleted', 'slots']) AS name, unnest([num_docs, num_deleted, num_docs + num_deleted])::BIGINT AS value FROM (SELECT (SELECT count(*) FROM folder_docs) + (SELECT count(*) FROM items WHERE NOT deleted) + (SELECT count(*) FROM metas) AS num_docs, (SELECT count(*) FROM items WHERE deleted) + (SELECT count(*) FROM o WHERE k % 10 <> 0 AND k % 97 = 0) AS num_deleted) "
+    "UNION ALL SELECT 'file', unnest(['_0.prx', 'segments.gen']), unnest([10, 20]) UNION ALL SELECT CASE WHEN f IN ('attrx', 'id', 'name') THEN 'stored, indexed' ELSE 'stored' END, f, (SELECT count(*) FROM items WHERE NOT deleted) FROM (SELECT unnest(['attrx', 'createft', 'exinfo', 'id', 'itemtype', 'modft', 'name', 'sizenr']) AS f) "
+    "UNION ALL SELECT 'stored', unnest(['idxdt', 'idxfl', 'idxtrm', 'mid', 'moddt']), (SELECT count(*) FROM metas) UNION ALL SELECT 'stored', unnest(['fldrid', 'fldrnm', 'fldrpid']), (SELECT count(*) FROM folder_docs) UNION ALL SELECT 'indexed only', 'content', NULL"))
+def index_info(spark, sf_dir):
+    """What a store is, in one table."""
+    store = fx.orders_store(spark, sf_dir)
+    store.store_files = rows(spark, "segment int, container string, name string, length bigint", [(0, "", *x) for x in _LISTED])
+    return L.looked_into(store)
+
+
 _ITEM = ["attrx", "createft", "exinfo", "id", "itemtype", "modft", "name", "sizenr"]
 _FIELDS = " UNION ALL ".join([f"SELECT '{f}' AS field, (SELECT count(*) FROM items WHERE NOT deleted) AS docs, {str(f in ('attrx', 'id', 'name', 'sizenr') and f != 'sizenr').lower()} AS also_indexed" for f in _ITEM] + [f"SELECT '{f}', (SELECT count(*) FROM metas), false" for f in ("idxdt", "idxfl", "idxtrm", "mid", "moddt")] + [f"SELECT '{f}', (SELECT count(*) FROM folder_docs), false" for f in ("fldrid", "fldrnm", "fldrpid")])
 
@@ -350,6 +403,24 @@ def index_settings(spark, sf_dir):
     return S.settings(rows(spark, "source string, xml string", SETTINGS))
 
 
+LABELS = [("d:\\OLD\\", "archive"), ("D:\\mail", "Mail"), ("D:/MAIL//", "MAIL"), ("E:\\new\\store\\", "store"), ("plain", "plain")]
+
+
+@query(o.golden("path, label", LABELS))
+def index_label(spark, sf_dir):
+    """A store's registered name by its path, whatever its case and trailing separators; else the path's last part."""
+    return S.labels(S.registrations(rows(spark, "source string, xml string", REGISTRY)), rows(spark, "path string", [(p,) for p, _ in LABELS]))
+
+
+FOLDERS_XML = [(1, '<root><section name="OTHER"><ConfigFile>no</ConfigFile></section><section name="FOLDERS"><ConfigFile>$(ApplicationData)\\idx</ConfigFile></section></root>'), (2, '<root><section name="FOLDERS"><Else>x</Else></section></root>'), (3, "<root><section"), (4, None)]
+
+
+@query(o.golden("id, pattern", [(1, "$(ApplicationData)\\idx"), (2, None), (3, None), (4, None)]))
+def folder_patterns(spark, sf_dir):
+    """Where registrations are kept, as the settings say."""
+    return rows(spark, "id int, xml string", FOLDERS_XML).select("id", S.folder_pattern(F.col("xml")).alias("pattern"))
+
+
 # ---- hierarchy ---------------------------------------------------------------------------------------------------
 
 FOLDERS = "folder_id string, parent_id string, path string, doc_id bigint"
@@ -400,6 +471,23 @@ def folder_ranking(spark, sf_dir):
     return _tree(spark, sf_dir)[1].rank(4, depth=1)
 
 
+@query(o.texts("SELECT home AS folder, sum(bytes)::BIGINT AS bytes FROM homes WHERE place = 'file' GROUP BY home"))
+def direct_file_bytes(spark, sf_dir):
+    """What the files of each folder itself cost."""
+    return _tree(spark, sf_dir)[1].direct_files()
+
+
+CONTAINERS = [("top", "root", "C:"), ("box", "top", "Box"), ("in", "box", ""), ("x", "in", "x"), ("loose", "root", "C:\\Box\\far"), ("lost", "root", "Q\\far")]
+
+
+@query(o.golden("merged, grafted", [(1, 1)]))
+def tree_counts(spark, sf_dir):
+    """Containers merged with their inside, and loose roots hung below a deeper path."""
+    folders = H.folders_of(rows(spark, "folder_id string, parent_id string, name string, doc_id bigint", [(*x, i) for i, x in enumerate(CONTAINERS)]))
+    none = rows(spark, "owner string, is_folder boolean, own_folder_id string, parent_folder_id string, apportioned_bytes bigint, exclusive_bytes bigint", [])
+    return H.build_tree(folders, none).counts()
+
+
 # ---- treemap -----------------------------------------------------------------------------------------------------
 
 
@@ -511,6 +599,13 @@ def validator_findings(spark, sf_dir):
     return V.reported(V.validate(rows(spark, "line bigint, text string", [(i + 1, x) for i, x in enumerate(FAULTY)]))[1])
 
 
+@query(o.golden("line, severity, message", [(1, "error", "missing columns: Files, Index")]))
+def validator_columns(spark, sf_dir):
+    """A header that lacks columns."""
+    lines = [HEAD.replace(",Files", "").replace(",Index", ""), "x,1"]
+    return V.validate(rows(spark, "line bigint, text string", [(i + 1, x) for i, x in enumerate(lines)]))[1]
+
+
 @query(o.texts("SELECT true AS ok, 0::BIGINT AS dropped, true AS child_sums, 0::BIGINT AS errors, 0::BIGINT AS warnings, (SELECT sum(bytes) FROM homes WHERE place <> 'omitted')::BIGINT AS root_physical"))
 def treemap_validates(spark, sf_dir):
     """Our own treemap loads without a drop, and its sums hold."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---- fixed values: names in the XML ----
 REGISTRY_SECTION = "section"  # of a registration; a settings section is IdxParm
+FOLDERS_SECTION = "FOLDERS"
 
 
 def settings(documents: DataFrame) -> DataFrame:
@@ -38,9 +41,38 @@ def read_registrations(spark: SparkSession, folder: str) -> DataFrame:
     return registrations(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), F.decode("content", "UTF-8").alias("xml")))
 
 
+def folder_pattern(xml: Column, element: str = "ConfigFile") -> Column:
+    """What the folders' section says of an element; null if it says nothing or is malformed."""
+    schema = f"section array<struct<_name:string,{element}:string>>"
+    doc = F.from_xml(xml, schema, {"rowTag": "root", "mode": "PERMISSIVE"})
+    return F.get(F.filter(doc["section"], lambda x: x["_name"] == FOLDERS_SECTION), F.lit(0))[element]
+
+
 def config_folder(pattern: str | None, application_data: str) -> str:
-    """The folder of registrations: the pattern with its placeholder filled in, or config."""
-    return pattern.replace("$(ApplicationData)", application_data) if pattern else "config"
+    """The folder of registrations: the pattern with its placeholder, whatever its case, filled in; else config."""
+    if pattern is None:
+        return f"{application_data}/config"
+    return re.sub(re.escape("$(ApplicationData)"), lambda _: application_data, pattern, flags=re.IGNORECASE)
+
+
+def delimiter(text: str | None, default: str = ",") -> str:
+    """A delimiter as an option spells it: one character, or the word tab."""
+    if not text:
+        return default
+    if text.lower() == "tab" or text == "\\t":
+        return "\t"
+    if len(text) != 1:
+        raise ValueError(f"a delimiter is one character or 'tab', not {text!r}")
+    return text
+
+
+def whole_number(text: str | None, name: str = "option") -> int | None:
+    """A whole number as an option spells it."""
+    if text is None:
+        return None
+    if not re.fullmatch(r"\s*[+-]?[0-9]+\s*", text):
+        raise ValueError(f"{name} is a whole number, not {text!r}")
+    return int(text)
 
 
 def resolve(registered: DataFrame, path: str | None = None, name: str | None = None) -> str:
@@ -55,8 +87,14 @@ def resolve(registered: DataFrame, path: str | None = None, name: str | None = N
     return found[0]
 
 
+def labels(registered: DataFrame, paths: DataFrame) -> DataFrame:
+    """path, label: a store's registered name (the first, if there are more), else the last part of its path."""
+    plain = lambda c: F.rtrim(c, F.lit("\\/"))
+    # a row a registration
+    known = registered.groupBy(F.lower(plain(F.col("path"))).alias("_key")).agg(F.min_by("name", F.struct(F.lower("name"), F.col("name"))).alias("_name"))
+    last = F.regexp_extract(plain(F.col("path")), r"([^\\/]*)$", 1)
+    return paths.join(known, F.lower(plain(F.col("path"))) == F.col("_key"), "left").select("path", F.coalesce("_name", last).alias("label"))
+
+
 def label(registered: DataFrame, path: str) -> str:
-    """A store's label: its registered name, else the last part of its path."""
-    plain = path.rstrip("\\/")
-    found = registered.where(F.lower(F.rtrim(F.col("path"), F.lit("\\/"))) == plain.lower()).select("name").first()
-    return found["name"] if found else plain.replace("\\", "/").rsplit("/", 1)[-1]
+    return labels(registered, registered.sparkSession.createDataFrame([(path,)], "path string")).first()["label"]

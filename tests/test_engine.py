@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Left to the driver's own comparison: these repeat the whole cost report, which owner_cost and folder_rollup cover.
-HEAVY = {"reconciliation", "dictionary_split", "top_files", "pareto_90", "closure_accounting", "folder_ranking", "treemap_rows", "treemap_closure", "skip_entries", "treemap_validates"}
+HEAVY = {"reconciliation", "dictionary_split", "top_files", "pareto_90", "closure_accounting", "folder_ranking", "treemap_rows", "treemap_closure", "skip_entries", "treemap_validates", "cost_overview", "report_top_files", "report_reconciliation", "direct_file_bytes"}
 
 from tallyspark.plans.queries import ORACLES, QUERIES  # noqa: E402
 
@@ -65,9 +65,22 @@ def test_books_balance_and_treemap_loads(spark, tmp_path):
 def test_csv_file_has_mark_and_crlf(spark, tmp_path):
     from tallyspark.operators.export import write_csv
 
-    write_csv(spark.createDataFrame([(1, "a,b"), (2, " x")], "i int, v string"), str(tmp_path / "out"), order=["i"])
-    part = next((tmp_path / "out").glob("part-*"))
-    assert part.read_bytes().decode() == '\ufeffi,v\r\n1,"a,b"\r\n2," x"\r\n'
+    for _ in range(2):  # an older file gives way
+        write_csv(spark.createDataFrame([(1, "a,b"), (2, " x")], "i int, v string"), str(tmp_path / "new" / "out.csv"), order=["i"])
+    assert (tmp_path / "new" / "out.csv").read_bytes().decode() == '\ufeffi,v\r\n1,"a,b"\r\n2," x"\r\n'
+    write_csv(spark.createDataFrame([(1, "a,b")], "i int, v string"), str(tmp_path / "tabs"), delimiter="tab", bom=False)
+    assert (tmp_path / "tabs").read_bytes() == b"i\tv\r\n1\ta,b\r\n"
+
+
+def test_options():
+    from tallyspark.sources.settings import config_folder, delimiter, whole_number
+
+    assert [delimiter(x) for x in (None, "", "TAB", "\\t", ";")] == [",", ",", "\t", "\t", ";"]
+    assert [whole_number(x) for x in (None, " -7 ", "12")] == [None, -7, 12]
+    for bad in (lambda: delimiter("ab"), lambda: whole_number("1.5")):
+        with pytest.raises(ValueError):
+            bad()
+    assert config_folder(None, "/a") == "/a/config" and config_folder("$(applicationDATA)/x", "/a") == "/a/x"
 
 
 def test_store_round_trip(spark, tmp_path):
