@@ -35,20 +35,22 @@ def posting_costs(store: Store) -> DataFrame:
     prox = F.when(F.col("has_positions"), F.when(F.col("has_payloads"), B.positions(F.col("positions"), F.col("payloads"))).otherwise(B.positions(F.col("positions")))).otherwise(0)
     # a row a segment and field
     narrow = store.postings.join(F.broadcast(infos), ["segment", "field"]).select(*TERM, "field_no", "doc", "freq", "has_freqs", prox.alias("prox_bytes"), F.floor(F.col("doc") / DOC_BLOCK).alias("block"))
-    rows = in_order(narrow, TERM, F.col("block"), ["doc"], "rank", {"doc": "before"})
+    # a scan of one column: if all documents are of one block, so is every posting list
+    most = store.postings.agg(F.max("doc")).first()[0]
+    rows = in_order(narrow, TERM, F.col("block"), ["doc"], "rank", {"doc": "before"}, single=most is None or most < DOC_BLOCK)
     delta = (F.col("doc") - F.coalesce("before", F.lit(0))).cast("bigint")
     return rows.select(*TERM, "field_no", "block", "doc", "rank", B.posting(delta, F.col("freq"), F.col("has_freqs")).alias("freq_bytes"), "prox_bytes")
 
 
 def term_entries(postings: DataFrame) -> DataFrame:
-    """segment, field, term, df, entry_bytes, skip_entries: the dictionary, terms in byte order within a field."""
-    terms = postings.groupBy(*TERM, "field_no").agg(F.count(F.lit(1)).alias("df"), F.sum("freq_bytes").alias("frq"), F.sum("prox_bytes").alias("prx"))
+    """segment, field, term, df, entry_bytes, skip_entries, last_block: the dictionary, terms in byte order within a field."""
+    terms = written(postings.groupBy(*TERM, "field_no").agg(F.count(F.lit(1)).alias("df"), F.sum("freq_bytes").alias("frq"), F.sum("prox_bytes").alias("prx"), F.max("block").alias("last_block")))
     rows = in_order(terms, ["segment", "field"], F.left("term", F.lit(TERM_BLOCK)), ["term"], None, {"term": "prev", "frq": "prev_frq", "prx": "prev_prx"})
     prefix = B.shared_prefix(F.coalesce("prev", F.lit("")), F.col("term"))
     size = F.octet_length("term").cast("bigint")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     entry = B.term_entry(prefix, size - prefix, F.col("field_no").cast("bigint"), F.col("df"), zero("prev_frq"), zero("prev_prx"))
-    return rows.select(*TERM, "df", entry.alias("entry_bytes"), B.skip_entries(F.col("df")).alias("skip_entries"))
+    return rows.select(*TERM, "df", entry.alias("entry_bytes"), B.skip_entries(F.col("df")).alias("skip_entries"), "last_block")
 
 
 def document_costs(postings: DataFrame, entries: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def document_costs(postings: DataFrame, entries: DataFrame) -> DataFrame:
 
     An entry goes to each block of its term, so a term that every document has is met in as many tasks as it has blocks.
     """
-    blocks = postings.select(*TERM, "block").distinct().join(entries.select(*TERM, "df", "entry_bytes"), TERM)
+    blocks = entries.select(*TERM, "df", "entry_bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_block"))).alias("block"))
     rows = postings.join(blocks, [*TERM, "block"])
     sole = F.col("df") == 1
     entry = F.col("entry_bytes")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SEP, fold, is_real_root, is_synthetic, normalize_root, split_path
-from ..plans.shared import written
+from ..plans.shared import written, written_counting
 from ..sources.store import Store, first
 
 CYCLE = "<cycle>"
@@ -33,13 +33,11 @@ def chains(nodes: DataFrame, id: str, parent: str, value: Column) -> DataFrame:
     """
     known = nodes.select(F.col(id).alias("_p"), F.lit(True).alias("_known")).distinct()
     state = nodes.select(F.col(id).alias("id"), F.array(value).alias("chain"), F.col(parent).alias("_p")).join(known, "_p", "left")
-    state = written(state.select("id", "chain", F.when(F.col("_known"), F.col("_p")).alias("up"), F.when(F.col("_known").isNull(), F.col("_p")).alias("missing")))
-    left = state.where("up is not null").count()
+    state, left = written_counting(state.select("id", "chain", F.when(F.col("_known"), F.col("_p")).alias("up"), F.when(F.col("_known").isNull(), F.col("_p")).alias("missing")), "up is not null")
     while left:
         higher = state.select(F.col("id").alias("up"), F.col("chain").alias("_c"), F.col("up").alias("_u"), F.col("missing").alias("_m"))
         going = state.where("up is not null").drop("missing").join(higher, "up").select("id", F.concat("chain", "_c").alias("chain"), F.col("_u").alias("up"), F.col("_m").alias("missing"))
-        state = written(state.where("up is null").unionByName(going))
-        now = state.where("up is not null").count()
+        state, now = written_counting(state.where("up is null").unionByName(going), "up is not null")
         if now == left:  # each round settles at least one node that does not lead into a cycle
             break
         left = now

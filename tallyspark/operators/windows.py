@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def in_order(df: DataFrame, group: list[str], block: Column, order: list[str | Column], rank: str | None = None, lag: dict[str, str] | None = None) -> DataFrame:
+def in_order(df: DataFrame, group: list[str], block: Column, order: list[str | Column], rank: str | None = None, lag: dict[str, str] | None = None, single: bool = False) -> DataFrame:
     """df with the row's rank (from 0) in its group and, for each (column: new name) of lag, that column of the row before.
 
     block must not fall as order rises. Rows are dealt once, by group and block; what the blocks before hold is carried
     to the blocks of groups that have more than one, and to no others. With lag, order is one column, unique in its group.
+    single says that all rows are known to lie in one block, which bounds every group: then a plain window does.
     """
     lag = lag or {}
+    if single:
+        inner = W.partitionBy(*group).orderBy(*order)
+        out = df.withColumns({name: F.lag(column).over(inner) for column, name in lag.items()}) if lag else df
+        return out.withColumn(rank, F.row_number().over(inner) - 1) if rank else out
     inner = W.partitionBy(*group, "_block").orderBy(*order)
     rows = df.withColumn("_block", block)
-    sums = [F.count(F.lit(1)).alias("_n")] + ([F.max_by(F.struct(*lag), order[0]).alias("_last")] if lag else [])
+    last = F.struct(F.max(order[0]).alias(order[0])) if list(lag) == order else F.max_by(F.struct(*lag), order[0]) if lag else None
+    sums = [F.count(F.lit(1)).alias("_n")] + ([last.alias("_last")] if lag else [])
     over = W.partitionBy(*group)
     blocks = rows.groupBy(*group, "_block").agg(*sums).withColumn("_blocks", F.count(F.lit(1)).over(over)).where("_blocks > 1")
     earlier = over.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -34,6 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_counting(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """written(), and for how many of its rows the condition holds, from the same job."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return table, seen.get["n"]
+
+
 @atexit.register
 def _remove() -> None:
     while _made:
