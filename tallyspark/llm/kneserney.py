@@ -1,20 +1,24 @@
-"""Perplexity by an interpolated modified Kneser-Ney bigram model counted in Spark.
-
-The model is a set of files of sorted hash arrays, one set a bucket, in the folder that the cluster shares:
-  pair   hash of (previous word, word) -> count
-  ctx    hash of a previous word -> tokens after it, and kinds of word after it seen once, twice, more often
-  uni    hash of a word -> count, and kinds of previous word (its continuation count)
-Workers map the files into memory and look up a slice of text at a time, in hash order.
-
-Counting is packed: a task merges the pairs of its rows before it sends them, one binary row a bucket, dealt by the
-previous word. Previous words that a sample shows to be very frequent are dealt by the pair instead; what they add
-up to is summed afterwards (at most `hot` words, a bound of its own). Counts by word are merged in a second such
-step. Everything is counted over all rows; nothing is pruned. The order is two: see the README for what a third
-order would need.
+"""Perplexity by an interpolated modified Kneser-Ney model of any order from two (three unless told), counted in Spark.
+
+The model is a set of tables of sorted hashes, one set a bucket, in the folder that the cluster shares. For every length
+k from two to the order:
+  gram{k}  hash of k tokens -> count (the longest, and those at a text's start), else kinds of token before them
+  ctx{k}   hash of the first k-1 of them -> sum of those counts, and how many of them are one, two, more
+  far{k}   the same, for contexts that end in a very frequent word
+and uni: hash of a word -> count, and kinds of previous word. Workers map the files into memory and look up a slice of
+text at a time, in hash order. Keys have 48 bits within a bucket (words 64); values are a byte that names one of
+the bucket's 255 commonest, the others stand apart.
+
+Counting is packed: a task merges the longest grams of its rows before it sends them, one binary row a bucket, dealt by
+the word before the last. All shorter grams with their contexts end in that same word, so the task that has a bucket
+settles every length. Words that a sample shows to be very frequent are dealt with the word after them instead; their
+contexts are summed in a second such step, as are counts by word (the contexts that are such a word alone, at most
+`hot`, by the driver). Everything is counted over all rows; nothing is pruned.
 
 Tokens are white-space-separated words with A-Z in lower case, then one end token; a null text is empty and so has
-just the end. Words not seen in training get the share that the model leaves to the uniform distribution. Without
-training rows every token has probability 1 (V = 0). Other columns pass through.
+just the end. Histories begin with one begin token; grams that begin with it keep their counts, as nothing precedes them.
+Words not seen in training get the share that the model leaves to the uniform distribution. Without training rows every
+token has probability 1 (V = 0). Other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,57 +36,67 @@ from .warc import open_shared
 
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 PACKED = "kind string, bucket int, payload binary, numbers array<bigint>"
+#: Bytes of tables that a worker keeps where the shared folder cannot be mapped.
+KEPT_BYTES = 256 << 20
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous, word, bounds): hashes of all tokens of some texts, ends included."""
+def tokens(texts: list[bytes], order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(items, bounds): a row for each of the order-1 previous tokens, the nearest last, then one for the tokens, ends included."""
     words = Words(texts, lower=True)
-    n = np.diff(words.bounds)
-    bounds = np.concatenate([[0], np.cumsum(n + 1)])
-    word = np.full(int(bounds[-1]), END, np.uint64)
-    inside = np.ones(len(word), bool)
+    bounds = np.concatenate([[0], np.cumsum(np.diff(words.bounds) + 1)])
+    items = np.full((order, int(bounds[-1])), BEGIN, np.uint64)
+    inside = np.ones(items.shape[1], bool)
     inside[bounds[1:] - 1] = False
-    word[inside] = words.hash
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[bounds[:-1]] = BEGIN
-    return before, word, bounds
+    items[-1][inside], items[-1][~inside] = words.hash, END
+    since = np.arange(items.shape[1]) - np.repeat(bounds[:-1], np.diff(bounds))
+    for back in range(1, order):
+        at = np.flatnonzero(since >= back)
+        items[-1 - back][at] = items[-1][at - back]
+    return items, bounds
+
 
+def hashed(items: np.ndarray) -> np.ndarray:
+    """One hash of each column of tokens."""
+    key = items[-1]
+    for item in items[-2::-1]:
+        key = mix(item * ODD + key)
+    return key
 
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * ODD + word)
 
+def proper(items: np.ndarray) -> np.ndarray:
+    """Columns that are grams: only their first token may be the begin token."""
+    return items[1] != BEGIN if len(items) > 2 else np.ones(items.shape[1], bool)
 
-def merged(keys: list[np.ndarray], *sums: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of equal keys as one, in order of the keys, with their sums."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    first = np.ones(len(order), bool)
-    if len(order):
-        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+
+def merged(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys in order, where one of each stands, and sums by key."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(first)
-    return [k[at] for k in keys], [np.add.reduceat(s[order], at) if len(at) else s for s in sums]
+    return key[at], order[at], [np.add.reduceat(s[order], at) if len(at) else s for s in sums]
 
 
-def _pack_pairs(before, word, count) -> bytes:
-    """Pairs in order of the previous word, which is sent once; counts as bytes, larger ones apart."""
-    first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-    n = np.diff(np.append(first, len(before))).astype("<u4")
+def _pack(items: np.ndarray, count: np.ndarray) -> bytes:
+    """Grams as indices into their distinct tokens; counts as bytes, larger ones apart."""
+    known, code = np.unique(items, return_inverse=True)
     large = np.flatnonzero(count >= 255)
-    head = np.array([len(first), len(word), len(large)], "<u4")
-    return b"".join(x.tobytes() for x in (head, before[first], n, word, np.minimum(count, 255).astype("u1"), large.astype("<u4"), count[large].astype("<u8")))
+    head = np.array([items.shape[1], len(known), len(large)], "<u4")
+    code = code.reshape(-1).astype("<u2" if len(known) <= 1 << 16 else "<u4")
+    return b"".join(x.tobytes() for x in (head, known, count[large].astype("<u8"), large.astype("<u4"), code, np.minimum(count, 255).astype("u1")))
 
 
-def _unpack_pairs(data: bytes):
-    g, n, m = np.frombuffer(data, "<u4", 3).tolist()
-    at = 12
-    out = []
-    for kind, length in (("<u8", g), ("<u4", g), ("<u8", n), ("u1", n), ("<u4", m), ("<u8", m)):
+def _unpack(data: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
+    n, v, m = np.frombuffer(data, "<u4", 3).tolist()
+    at, out = 12, []
+    for kind, length in (("<u8", v), ("<u8", m), ("<u4", m), ("<u2" if v <= 1 << 16 else "<u4", n * order), ("u1", n)):
         out.append(np.frombuffer(data, kind, length, at))
         at += np.dtype(kind).itemsize * length
-    count = out[3].astype(np.int64)
-    count[out[4]] = out[5].astype(np.int64)
-    return np.repeat(out[0], out[1]), out[2], count
+    known, large, large_at, code, count = out
+    count = count.astype(np.int64)
+    count[large_at] = large
+    return known[code].reshape(order, n), count
 
 
 def _rows(kind, bucket, payload, numbers):
@@ -95,8 +109,8 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
     return ((mix(key) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _route(before: np.ndarray, key: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    return bucket_of(np.where(np.isin(before, hot), key, before), n) if len(hot) else bucket_of(before, n)
+def _route(before: np.ndarray, pair: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    return bucket_of(np.where(np.isin(before, hot), pair, before), n) if len(hot) else bucket_of(before, n)
 
 
 def _dealt(to: np.ndarray, n: int):
@@ -105,34 +119,82 @@ def _dealt(to: np.ndarray, n: int):
     return order, np.searchsorted(to[order], np.arange(n + 1, dtype=to.dtype))
 
 
-def _write(uri: str, **arrays: np.ndarray) -> None:
-    """Arrays of one length after a header of eight bytes, the length. A task that runs twice puts the same bytes."""
-    local = local_path(uri)
-    with open_shared(f"{uri}.{uuid.uuid4().hex}" if local else uri, write=True) as file:
-        file.write(np.uint64(len(next(iter(arrays.values())))).tobytes())
-        for a in arrays.values():
-            file.write(np.ascontiguousarray(a).tobytes())
-    if local:
-        os.replace(file.name, local)
-
-
-LAYOUT = {"pair": ("<u8", "<u4"), "ctx": ("<u8", "<u8", "<u4", "<u4", "<u4"), "uni": ("<u8", "<u8", "<u4")}
-
-
-def _read(uri: str, kind: str) -> list[np.ndarray]:
-    """The arrays of a file: mapped where the folder is mounted, else read."""
-    local = local_path(uri)
-    if local:
-        raw = np.memmap(local, np.uint8, "r")
-    else:
-        with open_shared(uri) as file:
-            raw = np.frombuffer(file.read(), np.uint8)
-    n, at, out = int(raw[:8].view("<u8")[0]), 8, []
-    for kind_of in LAYOUT[kind]:
-        width = np.dtype(kind_of).itemsize
-        out.append(raw[at : at + n * width].view(kind_of))
-        at += n * width
-    return out
+def _partials(kind: str, key: np.ndarray, sums: list[np.ndarray], to: np.ndarray, n: int):
+    """Sums by key that the second step adds up, a row a bucket."""
+    order, first = _dealt(to, n)
+    parts = [key.astype("<u8")[order], *(s.astype("<u8")[order] for s in sums)]
+    some = [i for i in range(n) if first[i + 1] > first[i]]
+    return _rows([kind] * len(some), some, [b"".join(x[first[i] : first[i + 1]].tobytes() for x in parts) for i in some], [None] * len(some))
+
+
+class Table:
+    """Sorted keys and the small numbers that belong to each."""
+
+    @staticmethod
+    def write(uri: str, key: np.ndarray, *columns: np.ndarray, wide: bool = False) -> None:
+        """A task that runs twice puts the same bytes."""
+        order = np.argsort(key)
+        key, values = key[order], np.stack(columns)[:, order].astype(np.int64)
+        m, n = values.shape
+        bits = 16 // m
+        small = (values < 1 << bits).all(axis=0)
+        joined = sum(values[i] << bits * i for i in range(m)) & 0xFFFF
+        often = np.bincount(joined[small], minlength=1 << 16)
+        top = np.argsort(-often, kind="stable")[:255]
+        top = top[often[top] > 0]
+        codes = np.full(1 << 16, 255, np.uint8)
+        codes[top] = np.arange(len(top))
+        code = np.where(small, codes[joined], 255).astype(np.uint8)
+        apart = np.flatnonzero(code == 255)
+        book = np.stack([top >> bits * i & (1 << bits) - 1 for i in range(m)])
+        low = key.astype("<u4") if wide else (key >> np.uint64(16)).astype("<u2")
+        parts = [np.array([m, n, len(top), len(apart), wide], "<u8"), book.astype("<u8"), values[:, apart].astype("<u8"), apart.astype("<u4"), (key >> np.uint64(32)).astype("<u4"), low, code]
+        local = local_path(uri)
+        with open_shared(f"{uri}.{uuid.uuid4().hex}" if local else uri, write=True) as file:
+            for a in parts:
+                file.write(np.ascontiguousarray(a).tobytes())
+        if local:
+            os.replace(file.name, local)
+
+    def __init__(self, uri: str):
+        """Mapped where the folder is mounted, else read."""
+        local = local_path(uri)
+        if local:
+            raw = np.memmap(local, np.uint8, "r")
+        else:
+            with open_shared(uri) as file:
+                raw = np.frombuffer(file.read(), np.uint8)
+        m, n, named, apart, wide = raw[:40].view("<u8").tolist()
+        at, out = 40, []
+        for kind, length in (("<u8", m * named), ("<u8", m * apart), ("<u4", apart), ("<u4", n), ("<u4" if wide else "<u2", n), ("u1", n)):
+            width = np.dtype(kind).itemsize
+            out.append(raw[at : at + length * width].view(kind))
+            at += length * width
+        self.book, self.values = out[0].reshape(m, named).astype(np.int64), out[1].reshape(m, apart)
+        self.apart, self.high, self.low, self.code = out[2:]
+        self.wide, self.bytes, self.mapped = bool(wide), len(raw), bool(local)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys it has, their numbers), for keys in order."""
+        n, high = len(self.high), (key >> np.uint64(32)).astype("<u4")
+        low = key.astype("<u4") if self.wide else (key >> np.uint64(16)).astype("<u2")
+        at = np.searchsorted(self.high, high)
+        hit = np.zeros(len(key), bool)
+        look = np.flatnonzero(at < n)
+        while len(look):
+            look = look[self.high[at[look]] == high[look]]
+            same = self.low[at[look]] == low[look]
+            hit[look[same]] = True
+            look = look[~same]
+            at[look] += 1
+            look = look[at[look] < n]
+        at = at[hit]
+        code = self.code[at]
+        values = np.zeros((len(self.book), len(at)), np.int64)
+        plain = code < 255
+        values[:, plain] = self.book[:, code[plain]]
+        values[:, ~plain] = self.values[:, np.searchsorted(self.apart, at[~plain])]
+        return hit, values
 
 
 def frequent(train: DataFrame, n_buckets: int, text_col: str, hot: int = 256, sample_rows: int = 2000) -> np.ndarray:
@@ -144,44 +206,60 @@ def frequent(train: DataFrame, n_buckets: int, text_col: str, hot: int = 256, sa
 
     drawn = train.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).orderBy("h").limit(sample_rows).select(F.substring("t", 1, 20000).alias("t"))
     texts = [(r["t"] or "").encode() for r in drawn.toLocalIterator()]
-    before, _, _ = tokens(texts)
+    before = tokens(texts)[0][0]
     counts = collections.Counter(before.tolist())
     return np.array([w for w, c in counts.most_common(hot) if c * n_buckets * 4 > len(before)], np.uint64)
 
 
-def count_pairs(train: DataFrame, n: int, hot: np.ndarray, folder: str, text_col: str, hold: int = 1_500_000) -> DataFrame:
-    """Write pair and ctx files; rows: counts of the files ('made'), hot words' sums ('hot'), packed counts by word ('word')."""
+def _held(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    items = np.concatenate([p[0] for p in parts], axis=1)
+    _, at, (count,) = merged(hashed(items), np.concatenate([p[1] for p in parts]))
+    return items[:, at], count
 
-    @thrifty
-    def send(batches):
-        held: list[tuple] = []
 
-        def flush():
-            (b, w), (c,) = merged([np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])], np.concatenate([h[2] for h in held]))
-            held[:] = [(b, w, c)]
+def count_grams(train: DataFrame, n: int, hot: np.ndarray, folder: str, text_col: str, order: int, hold: int = 1_000_000) -> DataFrame:
+    """Write gram and ctx tables; rows: counts of the tables ('made'), hot words' sums ('hot'), packed sums ('uni', 'far3' ...)."""
 
-        def out():
-            b, w, c = held.pop()
-            order, first = _dealt(_route(b, pair_key(b, w), hot, n), n)
-            b, w, c = b[order], w[order], c[order]
+    @thrifty
+    def send(batches):
+        def out(held):
+            items, count = _held([(x, np.ones(x.shape[1], np.int64)) for x in held])
+            rows, first = _dealt(_route(items[-2], hashed(items[-2:]), hot, n), n)
             some = [i for i in range(n) if first[i + 1] > first[i]]
-            return _rows(["pair"] * len(some), some, [_pack_pairs(b[s:e], w[s:e], c[s:e]) for s, e in ((first[i], first[i + 1]) for i in some)], [None] * len(some))
+            cut = [rows[first[i] : first[i + 1]] for i in some]
+            return _rows(["gram"] * len(some), some, [_pack(items[:, at], count[at]) for at in cut], [None] * len(some))
 
-        size = 0
+        held, size = [], 0
         for batch in slices(batches, 0):
-            before, word, _ = tokens(utf8(batch.column(0)))
-            (b, w), (c,) = merged([before, word], np.ones(len(word), np.int64))
-            held.append((b, w, c))
-            size += len(b)
+            held.append(tokens(utf8(batch.column(0)), order)[0])
+            size += held[-1].shape[1]
             if size > hold:
-                flush()
-                size = len(held[0][0])
-                if size > hold // 2:
-                    yield out()
-                    size = 0
-        if held:
-            flush()
-            yield out()
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
+
+    def settled(b, items, raw):
+        count, kinds = raw, []
+        for k in range(order, 1, -1):
+            at = np.flatnonzero(proper(items))
+            own = count[at]
+            Table.write(f"{folder}/gram{k}-{b}", hashed(items)[at], own)
+            kinds += [len(at), *(int((own == i).sum()) for i in (1, 2, 3, 4))]
+            key, one, sums = merged(hashed(items[:-1])[at], own, *((own == i).astype(np.int64) for i in (1, 2)), (own > 2).astype(np.int64))
+            spread = np.isin(items[-2][at][one], hot)
+            Table.write(f"{folder}/ctx{k}-{b}", key[~spread], *(s[~spread] for s in sums))
+            key, sums = key[spread], [s[spread] for s in sums]
+            if k > 2:
+                yield _partials(f"far{k}", key, sums, bucket_of(key, n), n)
+                _, at, (raw, count) = merged(hashed(items[1:]), raw, np.ones(len(raw), np.int64))
+                items = items[1:, at]
+                count = np.where(items[0] == BEGIN, raw, count)
+            else:
+                yield _rows(["hot"] * len(key), [b] * len(key), [None] * len(key), [[int(x) for x in row] for row in zip(key.view(np.int64), *sums)])
+        word, _, sums = merged(items[-1], raw, np.ones(len(raw), np.int64))
+        yield _partials("uni", word, sums, bucket_of(word, n), n)
+        yield _rows(["made"], [b], [None], [kinds])
 
     @thrifty
     def settle(batches):
@@ -189,60 +267,39 @@ def count_pairs(train: DataFrame, n: int, hot: np.ndarray, folder: str, text_col
         for batch in batches:
             for b, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = held.setdefault(b, [])
-                own.append(_unpack_pairs(data))
-                if len(own) > 8:  # merge as they come
-                    own[:] = [_together(own)]
+                own.append(_unpack(data, order))
+                if sum(len(p[1]) for p in own[1:]) > len(own[0][1]) + (1 << 18):  # merge as they come, what is merged at most doubling
+                    own[:] = [_held(own)]
         for b in list(held):
-            before, word, count = _together(held.pop(b))
-            key = pair_key(before, word)
-            order = np.argsort(key)
-            _write(f"{folder}/pair-{b}", key=key[order].astype("<u8"), count=np.minimum(count[order], 2**32 - 1).astype("<u4"))
-            once, twice, more = ((count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
-            (v,), (total, n1, n2, n3) = merged([before], count, once, twice, more)
-            shared = np.isin(v, hot)
-            _write(f"{folder}/ctx-{b}", key=v[~shared].astype("<u8"), total=total[~shared].astype("<u8"), n1=n1[~shared].astype("<u4"), n2=n2[~shared].astype("<u4"), n3=n3[~shared].astype("<u4"))
-            kinds = [len(count), int(once.sum()), int(twice.sum()), int((count == 3).sum()), int((count == 4).sum())]
-            at = np.flatnonzero(shared)
-            yield _rows(["made"] + ["hot"] * len(at), [b] * (1 + len(at)), [None] * (1 + len(at)), [kinds] + [[int(v[i : i + 1].view(np.int64)[0]), int(total[i]), int(n1[i]), int(n2[i]), int(n3[i])] for i in at])
-            (w,), (c, types) = merged([word], count, np.ones(len(word), np.int64))
-            order, first = _dealt(bucket_of(w, n), n)
-            w, c, types = w[order].astype("<u8"), c[order].astype("<u8"), types[order].astype("<u4")
-            some = [i for i in range(n) if first[i + 1] > first[i]]
-            yield _rows(["word"] * len(some), some, [b"".join(x[first[i] : first[i + 1]].tobytes() for x in (w, c, types)) for i in some], [None] * len(some))
-
-    sent = train.select(text_col).mapInArrow(send, PACKED)
-    return sent.repartition(n, "bucket").mapInArrow(settle, PACKED)
+            yield from settled(b, *_held(held.pop(b)))
 
+    return train.select(text_col).mapInArrow(send, PACKED).repartition(n, "bucket").mapInArrow(settle, PACKED)
 
-def _together(parts: list):
-    (b, w), (c,) = merged([np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])], np.concatenate([p[2] for p in parts]))
-    return b, w, c
 
+def add_up(counted: DataFrame, n: int, folder: str) -> DataFrame:
+    """Write uni and far tables; a row a table, of uni with kinds, tokens, continuations, and kinds with a continuation count of 1 to 4."""
 
-def count_words(counted: DataFrame, n: int, folder: str) -> DataFrame:
-    """Write uni files; rows: kinds, tokens, continuations, and kinds with a continuation count of 1 to 4."""
+    def together(parts):
+        key, _, sums = merged(*(np.concatenate(x) for x in zip(*parts)))
+        return key, *sums
 
     @thrifty
     def settle(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple[str, int], list] = {}
         for batch in batches:
-            for b, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                k = len(data) // 20
-                own = held.setdefault(b, [])
-                own.append((np.frombuffer(data, "<u8", k), np.frombuffer(data, "<u8", k, 8 * k).astype(np.int64), np.frombuffer(data, "<u4", k, 16 * k).astype(np.int64)))
-                if len(own) > 8:
-                    own[:] = [_words(own)]
-        for b in list(held):
-            w, c, types = _words(held.pop(b))
-            _write(f"{folder}/uni-{b}", key=w.astype("<u8"), count=c.astype("<u8"), types=np.minimum(types, 2**32 - 1).astype("<u4"))
-            yield _rows(["made"], [b], [None], [[len(w), int(c.sum()), int(types.sum()), *(int((types == i).sum()) for i in (1, 2, 3, 4))]])
+            for kind, b, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = held.setdefault((kind, b), [])
+                key, *sums = np.frombuffer(data, "<u8").reshape(3 if kind == "uni" else 5, -1)
+                own.append((key, *(s.astype(np.int64) for s in sums)))
+                if sum(len(p[0]) for p in own[1:]) > len(own[0][0]) + (1 << 18):
+                    own[:] = [together(own)]
+        for kind, b in list(held):
+            key, *sums = together(held.pop((kind, b)))
+            Table.write(f"{folder}/{kind}-{b}", key, *sums, wide=kind == "uni")
+            numbers = [len(key), int(sums[0].sum()), int(sums[1].sum()), *(int((sums[1] == i).sum()) for i in (1, 2, 3, 4))]
+            yield _rows([kind], [b], [None], [numbers])
 
-    return counted.where("kind = 'word'").repartition(n, "bucket").mapInArrow(settle, PACKED)
-
-
-def _words(parts: list):
-    (w,), (c, types) = merged([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-    return w, c, types
+    return counted.where("kind = 'uni' or kind like 'far%'").repartition(n, "bucket").mapInArrow(settle, PACKED)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -253,17 +310,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Model:
-    """What the driver knows of a model; its arrays stay in the folder."""
+    """What the driver knows of a model; its tables stay in the folder."""
 
-    def __init__(self, folder: str, n: int, hot: np.ndarray, hot_sums: np.ndarray, pairs: list[int], words: list[int], made: dict[str, set[int]]):
+    def __init__(self, folder: str, n: int, order: int, hot: np.ndarray, hot_sums: np.ndarray, grams: list[int], words: list[int], made: dict[str, set[int]]):
         #: the buckets of which there are files, by kind
         self.made = made
-        self.folder, self.n, self.hot, self.hot_sums = folder, n, hot, hot_sums
+        self.folder, self.n, self.order, self.hot, self.hot_sums = folder, n, order, hot, hot_sums
         self.kinds, self.tokens, self.continuations = words[0], words[1], words[2]
-        self.d2 = discounts(*pairs[1:5])
-        self.d1 = discounts(*words[3:7])
+        #: by length; what is counted of the longest comes first
+        self.discounts = {k: discounts(*grams[5 * (order - k) + 1 : 5 * (order - k) + 5]) for k in range(2, order + 1)} | {1: discounts(*words[3:7])}
         n1, n2 = words[3], words[4]
-        left = self.d1[1] * n1 + self.d1[2] * n2 + self.d1[3] * (words[0] - n1 - n2)
+        left = self.discounts[1][1:] @ [n1, n2, words[0] - n1 - n2]
         #: the share of the uniform distribution over all kinds and the unknown word
         self.floor = left / self.continuations / (self.kinds + 1) if self.continuations else 1.0
         self._files: dict = {}
@@ -271,73 +328,92 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_files": {}}
 
-    def look_up(self, kind: str, key: np.ndarray, bucket: np.ndarray) -> list[np.ndarray]:
-        """The columns of a table for some distinct keys; zeros where it has none."""
-        out = [np.zeros(len(key), np.int64) for _ in LAYOUT[kind][1:]]
+    def table(self, kind: str, b: int) -> Table | None:
+        if (kind, b) not in self._files:
+            # no file was made where no key fell into the bucket; a failed read of one that was fails the task
+            found = Table(f"{self.folder}/{kind}-{b}") if b in self.made.get(kind, ()) else None
+            if found and not found.mapped:  # held in memory: bounded, the oldest go
+                size = found.bytes + sum(t.bytes for t in self._files.values() if t)
+                for key in list(self._files):
+                    if size <= KEPT_BYTES:
+                        break
+                    gone = self._files.pop(key)
+                    size -= gone.bytes if gone else 0
+            self._files[kind, b] = found
+        return self._files[kind, b]
+
+    def look_up(self, kind: str, width: int, key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """The numbers of some distinct keys; zeros where the table has none."""
+        out = np.zeros((width, len(key)), np.int64)
         order = np.lexsort((key, bucket))
         cut = np.searchsorted(bucket[order], np.arange(self.n + 1, dtype=bucket.dtype))
         for b in range(self.n):
             at = order[cut[b] : cut[b + 1]]
-            if not len(at):
-                continue
-            if (kind, b) not in self._files:
-                # no file was made where no key fell into the bucket; a failed read of one that was fails the task
-                self._files[kind, b] = _read(f"{self.folder}/{kind}-{b}", kind) if b in self.made[kind] else None
-            table = self._files[kind, b]
-            if table is None or not len(table[0]):
-                continue
-            i = np.minimum(np.searchsorted(table[0], key[at]), len(table[0]) - 1)
-            hit = table[0][i] == key[at]
-            for o, column in zip(out, table[1:]):
-                o[at[hit]] = column[i[hit]]
+            table = self.table(kind, b) if len(at) else None
+            if table:
+                hit, values = table.find(key[at])
+                out[:, at[hit]] = values
         return out
 
+    def contexts(self, items: np.ndarray) -> np.ndarray:
+        """The sum, ones, twos and more of contexts, a column each."""
+        k = len(items) + 1
+        key, first, back = np.unique(hashed(items), return_index=True, return_inverse=True)
+        last = items[-1][first]
+        spread = np.isin(last, self.hot)
+        out = np.zeros((4, len(key)), np.int64)
+        out[:, ~spread] = self.look_up(f"ctx{k}", 4, key[~spread], bucket_of(last[~spread], self.n))
+        if k > 2:
+            out[:, spread] = self.look_up(f"far{k}", 4, key[spread], bucket_of(key[spread], self.n))
+        elif spread.any():
+            out[:, spread] = self.hot_sums[np.searchsorted(self.hot, last[spread])].T
+        return out[:, back]
+
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """For each text: n_tokens, n_known, base_score, score."""
-        before, word, bounds = tokens(texts)
+        items, bounds = tokens(texts, self.order)
         if not self.tokens:
             zero = np.zeros(len(texts))
             return {"n_tokens": np.diff(bounds), "n_known": zero.astype(np.int64), "base_score": zero, "score": zero}
-        words, word_at = np.unique(word, return_inverse=True)
-        count, types = self.look_up("uni", words, bucket_of(words, self.n))
-        p1 = np.where(types > 0, (types - self.d1[np.minimum(types, 3)]) / self.continuations, 0) + self.floor
+        words, word_at = np.unique(items[-1], return_inverse=True)
+        count, types = self.look_up("uni", 2, words, bucket_of(words, self.n))
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
-        contexts, context_at = np.unique(before, return_inverse=True)
-        total, n1, n2, n3 = self.look_up("ctx", contexts, bucket_of(contexts, self.n))
-        for i, v in enumerate(self.hot):
-            at = np.searchsorted(contexts, v)
-            if at < len(contexts) and contexts[at] == v:
-                total[at], n1[at], n2[at], n3[at] = self.hot_sums[i]
-        key = pair_key(before, word)
-        pairs, first, pair_at = np.unique(key, return_index=True, return_inverse=True)
-        (seen,) = self.look_up("pair", pairs, _route(before[first], pairs, self.hot, self.n))
-        c = seen[pair_at]
-        weight = (self.d2[1] * n1 + self.d2[2] * n2 + self.d2[3] * n3)[context_at]
-        t = total[context_at]
-        lower = p1[word_at]
-        p = np.where(t > 0, (np.maximum(c - self.d2[np.minimum(c, 3)], 0) + weight * lower) / np.maximum(t, 1), lower)
+        p = (np.where(types > 0, (types - self.discounts[1][np.minimum(types, 3)]) / self.continuations, 0) + self.floor)[word_at]
+        for k in range(2, self.order + 1):
+            at = np.flatnonzero(proper(items[-k:]))
+            grams = items[-k:, at]
+            key, first, back = np.unique(hashed(grams), return_index=True, return_inverse=True)
+            pair = grams[-2:, first]
+            (c,) = self.look_up(f"gram{k}", 1, key, _route(pair[0], hashed(pair), self.hot, self.n))[:, back]
+            total, *kinds = self.contexts(grams[:-1])
+            d, lower = self.discounts[k], p[at]
+            p[at] = np.where(total > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + (d[1:] @ kinds) * lower) / np.maximum(total, 1), lower)
         add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no text is without a token
         return {"n_tokens": np.diff(bounds), "n_known": add((count > 0)[word_at].astype(np.int64)), "base_score": add(base[word_at]), "score": add(np.log10(p))}
 
 
-def fit(train: DataFrame, text_col: str = "text") -> Model:
+def fit(train: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     """Count a model over all rows of train."""
+    if order < 2:
+        raise ValueError("the order must be two or more")
     spark = train.sparkSession
     n = buckets(spark)
     folder = shared_path(spark, "ngrams")
     hot = np.sort(frequent(train, n, text_col))
-    counted = save(count_pairs(train, n, hot, folder, text_col), "pairs")
-    made = save(count_words(counted, n, folder), "words")
-    # a row a bucket, and one a hot word
-    of_pairs, of_words = counted.where("kind = 'made'").select("bucket", "numbers").collect(), made.select("bucket", "numbers").collect()
-    pairs = np.array([r["numbers"] for r in of_pairs] or [[0] * 5]).sum(axis=0)
-    words = np.array([r["numbers"] for r in of_words] or [[0] * 7]).sum(axis=0)
-    files = {"pair": {r["bucket"] for r in of_pairs}, "uni": {r["bucket"] for r in of_words}}
+    counted = save(count_grams(train, n, hot, folder, text_col, order), "grams")
+    added = save(add_up(counted, n, folder), "sums")
+    # a row a table, and one a hot word
+    of_grams, of_sums = counted.where("kind = 'made'").select("bucket", "numbers").collect(), added.select("kind", "bucket", "numbers").collect()
+    grams = np.array([r["numbers"] for r in of_grams] or [[0] * 5 * (order - 1)]).sum(axis=0)
+    words = np.array([r["numbers"] for r in of_sums if r["kind"] == "uni"] or [[0] * 7]).sum(axis=0)
+    made = {f"{kind}{k}": {r["bucket"] for r in of_grams} for kind in ("gram", "ctx") for k in range(2, order + 1)}
+    for r in of_sums:
+        made.setdefault(r["kind"], set()).add(r["bucket"])
     sums = np.zeros((len(hot), 4), np.int64)
     parts = counted.where("kind = 'hot'").select(F.col("numbers")[0].alias("v"), *(F.col("numbers")[i].alias(f"x{i}") for i in range(1, 5)))
     for r in parts.groupBy("v").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(1, 5))).collect():
         sums[np.searchsorted(hot, np.array([r["v"]]).view(np.uint64)[0])] = r[1:5]
-    return Model(folder, n, hot, sums, pairs.tolist(), words.tolist(), files | {"ctx": files["pair"]})
+    return Model(folder, n, order, hot, sums, grams.tolist(), words.tolist(), made)
 
 
 def perplexity(score: float, n: int) -> float:

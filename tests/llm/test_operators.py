@@ -155,42 +155,70 @@ def test_substrings(docs, empty, sizes):
     assert sorted((r["doc_id"] is None, r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect()) == removed(pairs(docs), 35)
 
 
-def test_kneser_ney(spark, docs, empty):
+@pytest.mark.parametrize("order, hot", [(2, False), (2, True), (3, False), (3, True), (4, True)])
+def test_kneser_ney(spark, docs, empty, monkeypatch, order, hot):
+    from tallyspark.llm import kneserney
     from tallyspark.llm.kneserney import discounts, fit, score_texts
 
+    if hot:  # whatever a sample says
+        often = np.concatenate([kneserney.tokens([b"w1 w2 la s7"], 2)[0][1][:4], [kneserney.BEGIN]])
+        monkeypatch.setattr(kneserney, "frequent", lambda *_: often)
     train = docs.where("doc_id is null or doc_id % 3 <> 0")
-    texts = [[*(t or "").encode().translate(LOW).split(), None] for d, t in pairs(train)]
-    uni, bi = collections.Counter(), collections.Counter()
-    for w in texts:
-        uni.update(w)
-        bi.update(zip([0, *w[:-1]], w))
-    n, v = sum(uni.values()), len(uni)
+    split = lambda t: [0, *(t or "").encode().translate(LOW).split(), None]
+    texts = [split(t) for _, t in pairs(train)]
+    raw = {k: collections.Counter(tuple(w[i - k + 1 : i + 1]) for w in texts for i in range(max(1, k - 1), len(w))) for k in range(1, order + 1)}
+    count = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        before = collections.Counter(g[1:] for g in raw[k + 1])
+        count[k] = {g: c if g[0] == 0 else before[g] for g, c in raw[k].items()}
     of = lambda c: [sum(x == i for x in c) for i in (1, 2, 3, 4)]
-    types = collections.Counter(w for _, w in bi)
-    d2, d1 = discounts(*of(bi.values())), discounts(*of(types.values()))
+    d = {k: discounts(*of(c.values())) for k, c in count.items()}
     after = collections.defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), c in bi.items():
-        after[a][0] += c
-        after[a][min(c, 3)] += 1
-    floor = sum(d1[min(t, 3)] for t in types.values()) / len(bi) / (v + 1)
-    p1 = lambda w: (types[w] - d1[min(types[w], 3)] if w in types else 0) / len(bi) + floor
-
-    def p2(a, w):
-        if a not in after:
-            return p1(w)
-        x = after[a]
-        c = bi[a, w]
-        return (max(c - d2[min(c, 3)], 0) + sum(d2[i] * x[i] for i in (1, 2, 3)) * p1(w)) / x[0]
+    for k in range(2, order + 1):
+        for g, c in count[k].items():
+            after[g[:-1]][0] += c
+            after[g[:-1]][min(c, 3)] += 1
+    n, v, kinds = sum(raw[1].values()), len(raw[1]), sum(count[1].values())
+    floor = sum(d[1][min(t, 3)] for t in count[1].values()) / kinds / (v + 1)
+
+    def p(g):
+        c = count[len(g)].get(g, 0)
+        if len(g) == 1:
+            return max(c - d[1][min(c, 3)], 0) / kinds + floor
+        if g[:-1] not in after:
+            return p(g[1:])
+        x, own = after[g[:-1]], d[len(g)]
+        return (max(c - own[min(c, 3)], 0) + sum(own[i] * x[i] for i in (1, 2, 3)) * p(g[1:])) / x[0]
 
     want = []
-    for d, t in pairs(docs):
-        w = [*(t or "").encode().translate(LOW).split(), None]
-        want.append((d is None, d, len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p2(a, x)) for a, x in zip([0, *w[:-1]], w))))
-    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in score_texts(docs, fit(train), ["doc_id"]).collect())
-    for a, b in zip(got, sorted(want)):
+    for i, t in pairs(docs):
+        w = split(t)
+        known = [raw[1][x,] for x in w[1:]]
+        score = sum(math.log10(p(tuple(w[max(0, j - order + 1) : j + 1]))) for j in range(1, len(w)))
+        want.append((i is None, i, len(known), sum(c > 0 for c in known), n, sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in known), score))
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in score_texts(docs, fit(train, order=order), ["doc_id"]).collect())
+    for a, b in zip(got, sorted(want), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
-    assert sum(p2(b"w1", w) for w in uni) + sum(d2[i] * after[b"w1"][i] for i in (1, 2, 3)) * floor / after[b"w1"][0] == pytest.approx(1)
-    assert {r["score"] for r in score_texts(docs, fit(empty), ["doc_id"]).collect()} == {0.0}
+    for context in ((0,), (b"w1",), (b"w2", b"w1"), (0, b"w3"))[: 2 if order == 2 else 4]:
+        assert sum(p((*context, *w)) for w in raw[1]) + p((*context, b"never seen")) == pytest.approx(1)
+    assert {r["score"] for r in score_texts(docs, fit(empty, order=order), ["doc_id"]).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("wide, rows", [(True, 5000), (False, 5000), (False, 0)])
+def test_model_tables_return_what_was_put(tmp_path, wide, rows):
+    from tallyspark.llm.kneserney import Table
+
+    key = rng.choice(1 << 62, rows, replace=False).astype(np.uint64) << np.uint64(1)
+    if rows:
+        key[:900] = (key[0] >> np.uint64(32) << np.uint64(32)) + (np.arange(900, dtype=np.uint64) << np.uint64(17))  # equal upper halves
+    for columns in (1, 2, 4):
+        values = rng.zipf(1.3, (columns, rows)).astype(np.int64) % (1 << 40)
+        Table.write(f"file://{tmp_path}/t{columns}", key, *values, wide=wide)
+        asked = np.sort(np.concatenate([key, rng.integers(0, 1 << 62, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
+        hit, got = Table(f"file://{tmp_path}/t{columns}").find(asked)
+        put = dict(zip(key.tolist(), values.T.tolist()))
+        assert hit.tolist() == [k in put for k in asked.tolist()]
+        assert got.T.tolist() == [put[k] for k in asked[hit].tolist()]
 
 
 def test_language_id(spark, docs, empty):
@@ -575,7 +603,7 @@ def test_language_model_fails_where_a_file_cannot_be_read(docs):
     model = fit(docs)
     text = [LONG.encode()]
     model.score(text)
-    for kind in ("pair", "ctx", "uni"):
+    for kind in ("gram2", "ctx2", "gram3", "ctx3", "uni"):
         model._files.clear()
         files = glob.glob(f"{local_path(model.folder)}/{kind}-*")
         for f in files:
