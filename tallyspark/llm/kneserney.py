@@ -70,6 +70,17 @@ def proper(items: np.ndarray) -> np.ndarray:
     return items[1] != BEGIN if len(items) > 2 else np.ones(items.shape[1], bool)
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct keys in order, where one of each stands, the place of every key among them)."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    back = np.empty(len(key), np.int64)
+    back[order] = np.cumsum(first) - 1
+    return key[first], order[first], back
+
+
 def merged(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The distinct keys in order, where one of each stands, and sums by key."""
     order = np.argsort(key)
@@ -206,7 +217,7 @@ class Table:
         """Mapped where the folder is mounted, else read."""
         local = local_path(uri)
         if local:
-            raw = np.memmap(local, np.uint8, "r")
+            raw = np.asarray(np.memmap(local, np.uint8, "r"))
         else:
             with open_shared(uri) as file:
                 raw = np.frombuffer(file.read(), np.uint8)
@@ -403,22 +414,23 @@ class Model:
         return self._files[kind, b]
 
     def look_up(self, kind: str, width: int, key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """The numbers of some distinct keys; zeros where the table has none."""
+        """The numbers of some distinct keys in order; zeros where the table has none."""
         out = np.zeros((width, len(key)), np.int64)
-        order = np.lexsort((key, bucket))
-        cut = np.searchsorted(bucket[order], np.arange(self.n + 1, dtype=bucket.dtype))
+        order, cut = _dealt(bucket.astype(np.uint16) if self.n < 1 << 16 else bucket, self.n)
         for b in range(self.n):
             at = order[cut[b] : cut[b + 1]]
             table = self.table(kind, b) if len(at) else None
             if table:
                 hit, values = table.find(key[at])
-                out[:, at[hit]] = values
+                at = at[hit]
+                for row, column in zip(out, values):
+                    row[at] = column
         return out
 
     def contexts(self, items: np.ndarray) -> np.ndarray:
         """The sum, ones, twos and more of contexts, a column each."""
         k = len(items) + 1
-        key, first, back = np.unique(hashed(items), return_index=True, return_inverse=True)
+        key, first, back = distinct(hashed(items))
         last = items[-1][first]
         spread = np.isin(last, self.hot)
         out = np.zeros((4, len(key)), np.int64)
@@ -435,20 +447,22 @@ class Model:
         if not self.tokens:
             zero = np.zeros(len(texts))
             return {"n_tokens": np.diff(bounds), "n_known": zero.astype(np.int64), "base_score": zero, "score": zero}
-        words, word_at = np.unique(items[-1], return_inverse=True)
+        words, _, word_at = distinct(items[-1])
         count, types = self.look_up("uni", 2, words, bucket_of(words, self.n))
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
         p = (np.where(types > 0, (types - self.discounts[1][np.minimum(types, 3)]) / self.continuations, 0) + self.floor)[word_at]
         seen = None
         for k in range(2, self.order + 1):
             at = np.flatnonzero(proper(items[-k:]))
+            if k > 2:  # a context that is no known gram was never followed
+                at = at[seen[at - 1]]
             grams = items[-k:, at]
-            key, first, back = np.unique(hashed(grams), return_index=True, return_inverse=True)
+            key, first, back = distinct(hashed(grams))
             pair = grams[-2:, first]
             (c,) = self.look_up(f"gram{k}", 1, key, _route(pair[0], hashed(pair), self.hot, self.n))[:, back]
             total, *kinds = self.contexts(grams[:-1])
-            if k > 2:  # a context that is no more than a known gram has been followed once
-                once = (total == 0) & seen[at - 1]
+            if k > 2:  # and one without sums was followed once
+                once = total == 0
                 total[once] = kinds[0][once] = 1
             seen = np.zeros(items.shape[1], bool)
             seen[at] = c > 0
@@ -497,7 +511,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None, te
         import pyarrow as pa
 
         model = held.value
-        for batch in slices(batches, len(keep), 2 << 20):
+        for batch in slices(batches, len(keep), 7 << 18):
             if not batch.num_rows:
                 continue
             got = model.score(utf8(batch.column(len(keep))))
